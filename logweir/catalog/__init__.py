@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweir.catalog import base, sources_and_text
+from logweir.catalog import base, sources_and_text, windows_and_features
 
 
 def queries() -> dict[str, base.Query]:

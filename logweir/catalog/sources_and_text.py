@@ -197,7 +197,7 @@ def _param_lines(spark, sf):
 
 
 @register("extract_params_literal", "l1m", r"""SELECT line_no, CASE WHEN content LIKE 'Served%' THEN
-    regexp_replace(content, 'Served block blk_(\d+) to (.*)', '\1|\2') ELSE
+    regexp_replace(content, 'Served block blk_(\d+) to /(.*)', '\1|\2') ELSE
     regexp_replace(content, 'PacketResponder (\d+) for block blk_(\d+) terminating', '\1|\2') END AS params
     FROM (SELECT line_no, content FROM l1m) WHERE regexp_matches(content, '^(Served|PacketResponder)') AND NOT regexp_matches(content, ' (mirror|retry) ')""")
 def extract_params_literal(spark, sf):
@@ -205,7 +205,7 @@ def extract_params_literal(spark, sf):
 
 
 @register("extract_params_regex", "l1m", r"""SELECT line_no, CASE WHEN content LIKE 'Served%' THEN
-    regexp_replace(content, 'Served block blk_(\d+) to (.*)', '|\2') ELSE
+    regexp_replace(content, 'Served block blk_(\d+) to /(.*)', '|\2') ELSE
     regexp_replace(content, 'PacketResponder (\d+) for block blk_(\d+) terminating', '\1|') END AS params
     FROM (SELECT line_no, content FROM l1m) WHERE regexp_matches(content, '^(Served|PacketResponder)') AND NOT regexp_matches(content, ' (mirror|retry) ')""")
 def extract_params_regex(spark, sf):
