@@ -21,8 +21,7 @@ UNKNOWN_RANK = -1
 
 
 def _constants(df: DataFrame, tokens: tuple[str, ...]) -> DataFrame:
-    rows = ", ".join(f"('{t}', {i})" for i, t in enumerate(tokens))
-    return df.sparkSession.sql(f"SELECT token, CAST(idx AS BIGINT) AS idx, CAST(NULL AS BIGINT) AS freq FROM VALUES {rows} AS t(token, idx)")
+    return df.sparkSession.createDataFrame([(t, i, None) for i, t in enumerate(tokens)], "token string, idx bigint, freq bigint")
 
 
 def template_occurrences(lines: DataFrame, template: str = "template", line: str = "line_id") -> DataFrame:
