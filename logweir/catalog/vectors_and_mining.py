@@ -15,6 +15,7 @@ from logweir.operators.ordering import ordinal
 from logweir.operators.splits import split_stratified
 from logweir.operators.windows import session_features
 from logweir.plans import views as V
+from logweir.session import materialise
 
 def dist_sql(a: str, b: str) -> str:
     d = f"1 - list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_dot_product({b}::DOUBLE[], {b}::DOUBLE[])) + CAST(1e-8 AS DOUBLE))"
@@ -222,14 +223,14 @@ def count_vectors(spark, sf, **options):
     train, test = split_sessions(spark, sf)
     fitted = FE.fit_count_features(train, **options)
     keep = ["session_id", "label", "first_line"]
-    return [fitted.vectors(s).join(SE.session_heads(s).select(*keep), "session_id") for s in (train, test)]
+    return [materialise(fitted.vectors(s).join(SE.session_heads(s).select(*keep), "session_id")) for s in (train, test)]
 
 
 def mixed_vectors(spark, sf):
     """For supervised models: all sessions, half of each class in order for training."""
-    s = V.sessions(spark, sf)
+    s = materialise(V.sessions(spark, sf))
     heads = split_stratified(SE.session_heads(s).select("session_id", "label", "first_line"), 0.5)
-    both = FE.fit_count_features(s).vectors(s).join(heads, "session_id")
+    both = materialise(FE.fit_count_features(s).vectors(s).join(heads, "session_id"))
     return both.where(F.col("split") == "train"), both.where(F.col("split") == "test")
 
 
@@ -287,10 +288,10 @@ def decision_tree(spark, sf):
 
 @register("supervised_session_classifier")
 def supervised_session_classifier(spark, sf):
-    s = V.sessions(spark, sf)
+    s = materialise(V.sessions(spark, sf))
     f = session_features(D.encode_events(s, D.build_vocab_first_seen(s)))
     both = f.select("session_id", "label", F.col("quantitative").cast("array<double>").alias("features"))
     first = s.where(F.col("pos") == 0).select("session_id", "first_line")
-    parts = split_stratified(both.join(first, "session_id"), 0.5)
+    parts = materialise(split_stratified(both.join(first, "session_id"), 0.5))
     out = SV.session_classifier(parts.where(F.col("split") == "train"), parts.where(F.col("split") == "test"))
     return out.select("session_id", "label", r6("normal_probability").alias("normal_probability"), "pred")

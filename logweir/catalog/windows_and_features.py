@@ -10,6 +10,7 @@ from logweir.functions import sequences as S
 from logweir.functions.vectors import sigmoid_nonzero
 from logweir.operators import candidates as CA, dictionaries as D, evaluation as E, features as FE, ordering as O, sessions as SE, splits as SP, windows as W
 from logweir.plans import flows, views as V
+from logweir.session import materialise
 
 WINDOW, STEP = 3600, 900
 
@@ -514,7 +515,7 @@ NEXT_FIT = NEXT_VIEW + """, spl AS (SELECT session_id, split FROM s1s), w AS (SE
 def split_sessions(spark, sf):
     s = V.sessions(spark, sf)
     split = split_heads(spark, sf).select("session_id", "split", "n_events")
-    both = O.spread_join(s.drop("n_events"), split, ["session_id"], "pos", "n_events")
+    both = materialise(O.spread_join(s.drop("n_events"), split, ["session_id"], "pos", "n_events"))
     return both.where(F.col("split") == "train"), both.where(F.col("split") != "train")
 
 

@@ -83,7 +83,7 @@ def fit_log_clustering(
         sizes = counts if sizes is None else np.concatenate([sizes, counts])
         if len(head) < bootstrap:
             break
-        border = F.lit(head[-1]["at"]) if not isinstance(head[-1]["at"], tuple) else F.struct(*[F.lit(v) for v in head[-1]["at"]])
+        border = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(head[-1]["at"], distinct.schema["at"].dataType)])
         rest = materialise(nearest_representative(left.where(F.col("at") > border), reps))
         near = rest.where(F.col("distance") <= max_dist)
         sums = near.groupBy("rep").agg(

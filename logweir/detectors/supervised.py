@@ -55,16 +55,8 @@ def session_classifier(train: DataFrame, test: DataFrame, cut: float = 0.2, vect
     return out.withColumnRenamed("probability", "normal_probability").withColumn("pred", (F.col("normal_probability") < cut).cast("int"))
 
 
-def text_vectorizer(messages: DataFrame, text: str = "msg", hashed: int = 1024, bins: int = 256) -> DataFrame:
+def text_vectorizer(messages: DataFrame, text: str = "msg", hashed: int = 384, bins: int = 256) -> DataFrame:
     """Fixed-length vector per text: hashed token counts, pooled to ``bins`` values."""
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=hashed)
     counted = tf.transform(messages.withColumn("_tokens", tokenize_ws(F.col(text))))
-    step = hashed // bins
-    if hashed % bins == 0:
-        pooled = F.transform(
-            F.sequence(F.lit(0), F.lit(bins - 1)),
-            lambda i: F.aggregate(F.slice("_a", i * step + 1, F.lit(step)), F.lit(0.0), lambda a, x: a + x) / step,
-        )
-    else:
-        pooled = adaptive_avg_pool(F.col("_a"), bins)
-    return counted.withColumn("_a", vector_to_array("_tf")).withColumn("vector", pooled).drop("_tokens", "_tf", "_a")
+    return counted.withColumn("vector", adaptive_avg_pool(vector_to_array("_tf"), bins)).drop("_tokens", "_tf")

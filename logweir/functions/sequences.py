@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from logweir.functions.binding import let
 from logweir.functions.text import WILDCARD, constant_tokens
 
 
@@ -42,7 +43,10 @@ def pad_to(items: Column, n: Column, fill: Column) -> Column:
 
 def count_by_item(items: Column) -> Column:
     """Sparse count vector of a small array: ``[(item, n)]`` ordered by item."""
-    return F.transform(
-        F.array_sort(F.array_distinct(items)),
-        lambda x: F.struct(x.alias("item"), F.size(F.filter(items, lambda y: y == x)).alias("n")),
+    return let(
+        items,
+        lambda xs: F.transform(
+            F.array_sort(F.array_distinct(xs)),
+            lambda x: F.struct(x.alias("item"), F.size(F.filter(xs, lambda y: y == x)).alias("n")),
+        ),
     )

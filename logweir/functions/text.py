@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from logweir.functions.binding import let
+
 # The wildcard, the variable patterns per public log collection, and punctuation.
 WILDCARD = "<*>"
 NON_ASCII = "<NASCII>"
@@ -155,20 +157,28 @@ def extract_params_regex(content: Column, template: Column, mask_blocks: bool =
             F.regexp_replace(p, r"([^A-Za-z0-9 ])", r"\\$1"), " +" if loose else " ", blank
         ),
     )
-    arity = F.size(parts) - 1
-    pattern = F.concat(F.lit("^"), F.array_join(parts, "(.*?)"), F.lit(r"\z"))
     text = F.regexp_replace(content, r"blk_-?\d+", "blk_") if mask_blocks else content
-    refs = F.array_join(F.transform(F.sequence(F.lit(1), arity), lambda i: F.concat(F.lit("$"), i.cast("string"))), FIELD_MARK)
-    values = F.split(F.regexp_replace(text, pattern, refs), FIELD_MARK)
-    if loose:
-        values = F.transform(values, lambda v: F.btrim(F.btrim(v, F.lit(STRIP_PUNCTUATION)), F.lit(" ")))
     none = F.array().cast("array<string>")
-    return F.when(arity < 1, none).when(F.rlike(text, pattern), values).otherwise(none)
+
+    def values(row: Column) -> Column:
+        arity = F.size(row["parts"]) - 1
+        pattern = F.concat(F.lit("^"), F.array_join(row["parts"], "(.*?)"), F.lit(r"\z"))
+        refs = F.array_join(F.transform(F.sequence(F.lit(1), arity), lambda i: F.concat(F.lit("$"), i.cast("string"))), FIELD_MARK)
+        found = F.split(F.regexp_replace(row["text"], pattern, refs), FIELD_MARK)
+        if loose:
+            found = F.transform(found, lambda v: F.btrim(F.btrim(v, F.lit(STRIP_PUNCTUATION)), F.lit(" ")))
+        return F.when(arity < 1, none).when(F.rlike(row["text"], pattern), found).otherwise(none)
+
+    return let(F.struct(parts.alias("parts"), text.alias("text")), values)
 
 
 def extract_params_literal(content: Column, template: Column) -> Column:
     """Text between the template's constants, located left to right; any miss gives an empty array."""
-    parts = F.split(template, r"<\*>")
+    bound = F.struct(content.alias("content"), F.split(template, r"<\*>").alias("parts"))
+    return let(bound, lambda row: _between(row["content"], row["parts"]))
+
+
+def _between(content: Column, parts: Column) -> Column:
     none = F.array().cast("array<string>")
     start = F.struct(F.lit(1).alias("at"), F.lit(True).alias("ok"), none.alias("out"))
     last = F.size(parts) - 1
@@ -188,4 +198,4 @@ def extract_params_literal(content: Column, template: Column) -> Column:
         return F.struct(end.alias("at"), ok.alias("ok"), grown.alias("out"))
 
     walked = F.aggregate(F.sequence(F.lit(0), last), start, step)
-    return F.when(F.contains(template, F.lit(WILDCARD)) & walked["ok"], walked["out"]).otherwise(none)
+    return F.when(last > 0, let(walked, lambda w: F.when(w["ok"], w["out"]).otherwise(none))).otherwise(none)

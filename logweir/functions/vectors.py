@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from logweir.functions.binding import let
+
 # Fixed value: the guard added to norms and denominators.
 TINY = 1e-8
 
@@ -35,11 +37,15 @@ def sigmoid_nonzero(x: Column) -> Column:
 
 def adaptive_avg_pool(vector: Column, bins: int) -> Column:
     """Mean over ``bins`` spans; span i is ``[floor(i L / m), ceil((i + 1) L / m))``."""
-    size = F.size(vector)
 
-    def one(i: Column) -> Column:
-        lo = F.floor(i * size / bins).cast("int")
-        hi = F.ceil((i + 1) * size / bins).cast("int")
-        return _sum(F.transform(F.slice(vector, lo + 1, hi - lo), lambda x: x.cast("double"))) / (hi - lo)
+    def pooled(v: Column) -> Column:
+        size = F.size(v)
+
+        def one(i: Column) -> Column:
+            lo = F.floor(i * size / bins).cast("int")
+            hi = F.ceil((i + 1) * size / bins).cast("int")
+            return _sum(F.slice(v, lo + 1, hi - lo)) / (hi - lo)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), one)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), one)
+    return let(vector.cast("array<double>"), pooled)

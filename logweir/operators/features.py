@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from logweir.functions.vectors import TINY, adaptive_avg_pool, sigmoid_nonzero
@@ -63,7 +65,7 @@ class CountFeatures:
     normalization: str | None = None
     oov: bool = False
     oov_df: int = 0
-    means: DataFrame | None = None
+    means: np.ndarray | None = None
 
     @property
     def width(self) -> int:
@@ -91,16 +93,28 @@ class CountFeatures:
         return cells.select("session_id", "col", value.alias("value"))
 
     def vectors(self, events: DataFrame) -> DataFrame:
-        """``session_id, features`` as dense arrays; an array has one slot per fitted column."""
-        sparse = self.cells(events).groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("_cells"))
-        heads = events.where(F.col("pos") == 0).select("session_id")
-        joined = heads.join(sparse, "session_id", "left")
-        slots = F.sequence(F.lit(0).cast("bigint"), F.lit(self.width - 1).cast("bigint"))
-        dense = F.transform(slots, lambda c: F.coalesce(F.element_at("_cells", c), F.lit(0.0)))
-        if self.means is not None:
-            joined = joined.withColumn("_means", self.means.select("means").scalar())
-            dense = F.zip_with(dense, "_means", lambda x, m: x - m)
-        return joined.select("session_id", dense.alias("features"))
+        """``session_id, features`` as dense arrays; an array has one slot per fitted column.
+
+        Cells travel in sparse form; a marker cell keeps sessions whose events all lack a column.
+        """
+        heads = events.where(F.col("pos") == 0).select("session_id", F.lit(-1).cast("bigint").alias("col"), F.lit(0.0).alias("value"))
+        sparse = (
+            self.cells(events)
+            .unionByName(heads)
+            .groupBy("session_id")
+            .agg(F.collect_list("col").alias("cols"), F.collect_list("value").alias("values"))
+        )
+        width, means = self.width, np.zeros(self.width) if self.means is None else self.means
+
+        @F.pandas_udf("array<double>")
+        def dense(cols: pd.Series, values: pd.Series) -> pd.Series:
+            out = np.zeros((len(cols), width + 1))
+            lengths = cols.map(len).to_numpy()
+            rows = np.repeat(np.arange(len(cols)), lengths)
+            out[rows, np.concatenate(cols.to_numpy())] = np.concatenate(values.to_numpy())
+            return pd.Series(list(out[:, :width] - means))
+
+        return sparse.select("session_id", dense("cols", "values").alias("features"))
 
 
 def fit_count_features(
@@ -113,12 +127,9 @@ def fit_count_features(
     if oov:
         fitted.oov_df = oov_feature(event_counts(events), columns).where(F.col("oov") > 0).count()
     if normalization == "zero-mean":
-        sums = fitted.cells(events).groupBy("col").agg(F.sum("value").alias("total"))
-        entries = F.map_from_entries(F.collect_list(F.struct("col", "total")))
-        slots = F.sequence(F.lit(0).cast("bigint"), F.lit(fitted.width - 1).cast("bigint"))
-        fitted.means = sums.agg(entries.alias("_m")).select(
-            F.transform(slots, lambda c: F.coalesce(F.element_at("_m", c), F.lit(0.0)) / F.lit(float(columns.sessions))).alias("means")
-        )
+        fitted.means = np.zeros(fitted.width)
+        for r in fitted.cells(events).groupBy("col").agg(F.sum("value").alias("total")).collect():
+            fitted.means[r["col"]] = r["total"] / columns.sessions
     return fitted
 
 
