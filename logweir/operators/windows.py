@@ -189,6 +189,7 @@ def window_event_counts(
     fixed = [limits.select(c).scalar().alias(c) for c in ("t0", "e0", "k_last")]
     spread = (
         cells.select("*", *fixed)
+        .where(F.col("k_last").isNotNull())
         .withColumn("_hi", F.least("k_last", highest))
         .withColumn("_lo", lowest.cast("bigint"))
         .where(F.col("_lo") <= F.col("_hi"))
