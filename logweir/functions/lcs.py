@@ -7,38 +7,44 @@ from collections.abc import Sequence
 from logweir.functions.text import WILDCARD
 
 
-def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
-    """Bit-parallel length (Hyyrö 2004): one big-integer step per token of ``b``."""
+def _rows(a: Sequence[str], b: Sequence[str]) -> list[int]:
+    """Bit-parallel table (Hyyrö 2004), one big integer per prefix of ``a``.
+
+    Bit j of row i is 0 where the length grows between ``b[:j]`` and ``b[:j + 1]``.
+    """
     where: dict[str, int] = {}
-    for i, token in enumerate(a):
-        where[token] = where.get(token, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for token in b:
+    for j, token in enumerate(b):
+        where[token] = where.get(token, 0) | (1 << j)
+    full = (1 << len(b)) - 1
+    rows = [full]
+    for token in a:
+        row = rows[-1]
         hits = row & where.get(token, 0)
-        row = ((row + hits) | (row - hits)) & full
-    return len(a) - row.bit_count()
+        rows.append(((row + hits) | (row - hits)) & full)
+    return rows
+
+
+def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
+    return len(b) - _rows(a, b)[-1].bit_count()
 
 
 def lcs_tokens(a: Sequence[str], b: Sequence[str]) -> list[str]:
     """The subsequence itself; on ties the walk back shortens ``a`` first, then ``b``."""
-    rows = [[0] * (len(b) + 1)]
-    for x in a:
-        above, row, left = rows[-1], [0], 0
-        for j, y in enumerate(b, 1):
-            left = above[j - 1] + 1 if x == y else max(left, above[j])
-            row.append(left)
-        rows.append(row)
+    rows = _rows(a, b)
+
+    def length(i: int, j: int) -> int:
+        return j - (rows[i] & ((1 << j) - 1)).bit_count()
+
     i, j, out = len(a), len(b), []
-    while i and j:
-        here = rows[i][j]
-        if here == rows[i - 1][j]:
+    here = length(i, j)
+    while here:
+        if length(i - 1, j) == here:
             i -= 1
-        elif here == rows[i][j - 1]:
+        elif rows[i] >> (j - 1) & 1:
             j -= 1
         else:
             out.append(a[i - 1])
-            i, j = i - 1, j - 1
+            i, j, here = i - 1, j - 1, here - 1
     return out[::-1]
 
 

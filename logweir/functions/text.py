@@ -60,11 +60,18 @@ def strip(text: Column) -> Column:
 
 
 def match_groups(text: Column, pattern: str, groups: int) -> Column:
-    """All groups of one whole-text match as an array, from a single regex pass per row."""
-    marked = F.regexp_replace(text, pattern, FIELD_MARK.join(f"${i}" for i in range(1, groups + 1)))
-    one_pass = F.split(marked, FIELD_MARK)
-    by_group = F.array(*[F.regexp_extract(text, pattern, i) for i in range(1, groups + 1)])
-    return F.when(F.contains(text, F.lit(FIELD_MARK)), by_group).otherwise(one_pass)
+    """The groups of a whole-text match as an array, NULL without a match, from one regex pass per row.
+
+    Each group is written behind a mark; a text that holds the mark itself is read group by group.
+    """
+    marks = "".join(f"{FIELD_MARK}${i}" for i in range(1, groups + 1))
+
+    def cut(t: Column) -> Column:
+        by_group = F.when(t.rlike(pattern), F.array(*[F.regexp_extract(t, pattern, i) for i in range(1, groups + 1)]))
+        one_pass = let(F.regexp_replace(t, pattern, marks), lambda m: F.when(F.startswith(m, F.lit(FIELD_MARK)), F.slice(F.split(m, FIELD_MARK), 2, groups)))
+        return F.when(F.contains(t, F.lit(FIELD_MARK)), by_group).otherwise(one_pass)
+
+    return let(text, cut)
 
 
 def mask_variables(text: Column, patterns: Sequence[str]) -> Column:

@@ -15,14 +15,16 @@ def line_index(lines: DataFrame, order: str = "line_no", out: str = "line_idx",
 
 
 def match_log_format(lines: DataFrame, log_format: str, line: str = "line") -> DataFrame:
-    """One string column per format field; lines that do not match as a whole are dropped."""
+    """One string column per format field; lines that do not match as a whole are dropped.
+
+    The match is a generator of no or one row, so the pattern runs once per line: a filter on the
+    match would be pushed below the projection and run the pattern again.
+    """
     fields = T.format_fields(log_format)
-    pattern = T.format_pattern(log_format)
-    stripped = lines.withColumn("_line", T.strip(F.col(line)))
-    matched = stripped.where(F.col("_line").rlike(pattern)).withColumn("_f", T.match_groups(F.col("_line"), pattern, len(fields)))
-    return matched.select(
-        *[c for c in lines.columns if c != line], *[F.get("_f", F.lit(i)).alias(name) for i, name in enumerate(fields)]
-    )
+    found = T.match_groups(T.strip(F.col(line)), T.format_pattern(log_format), len(fields))
+    kept = [c for c in lines.columns if c != line]
+    matched = lines.select(*kept, F.explode(F.filter(F.array(found), lambda f: f.isNotNull())).alias("_f"))
+    return matched.select(*kept, *[F.get("_f", F.lit(i)).alias(name) for i, name in enumerate(fields)])
 
 
 def parse_log_format(lines: DataFrame, log_format: str, line: str = "line", order: str = "line_no", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -30,6 +32,15 @@ def parse_log_format(lines: DataFrame, log_format: str, line: str = "line", orde
     return line_index(match_log_format(lines, log_format, line), order, "line_id", 1, block_rows)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores when the scan has fewer tasks than that (a few small files).
+
+    A scan with enough tasks is left alone, so large inputs pay no extra shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def text_messages(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Lines of multi-line texts, empty lines kept: ``key, line_pos, msg``."""
     return documents.select(key, F.posexplode(F.split(text, "\n")).alias("line_pos", "msg"))

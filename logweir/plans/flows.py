@@ -11,17 +11,24 @@ from logweir.functions import text as T
 from logweir.operators.dictionaries import apply_event_rank, event_rank, template_occurrences
 from logweir.operators.evaluation import classification_metrics, session_verdict
 from logweir.operators.parsing import match_log_format
-from logweir.operators.sessions import sessionize_by_key
+from logweir.operators.sessions import sessionize
 from logweir.operators.windows import next_event_windows
+from logweir.session import materialise
 
 
 def ranked_sessions(lines: DataFrame, log_format: str, masks: Sequence[str]) -> DataFrame:
-    """Raw lines to sessions of event ranks: parse, mask, rank templates, group by the keys in the text."""
+    """Raw lines to sessions of event ranks: parse, mask, rank templates, group by the keys in the text.
+
+    The parsed log is stored without its text and the sessions are stored once, so the patterns run
+    once per line although ranks, positions, fit and score all read them.
+    """
     log = match_log_format(lines, log_format).withColumn("event_id", T.template_id(T.mask_variables(F.col("Content"), masks)))
-    log = log.select("line_no", "Content", "event_id", T.binarize_label(F.col("Label")).alias("line_label"))
+    keys = T.extract_session_keys(F.col("Content"))
+    log = materialise(log.select("line_no", "event_id", T.binarize_label(F.col("Label")).alias("line_label"), keys.alias("keys")))
     occurrences = log.groupBy("event_id").agg(F.count(F.lit(1)).alias("occurrences"))
     ranked = apply_event_rank(log, event_rank(occurrences)).withColumn("event", F.col("event_rank").cast("string"))
-    return sessionize_by_key(ranked, "Content", "line_no", totals={"label": ("max", "line_label")})
+    keyed = ranked.withColumn("session_id", F.explode("keys")).select("session_id", "line_no", "event", "line_label")
+    return materialise(sessionize(keyed, line="line_no", totals={"label": ("max", "line_label")}))
 
 
 def unusual_successors(sessions: DataFrame, width: int = 1, g: int = 3, threshold: float = 0.5) -> DataFrame:

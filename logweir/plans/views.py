@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from logweir.functions.text import HDFS_MASKS, epoch_seconds, mask_variables
 from logweir.operators.ordering import BLOCK_ROWS
-from logweir.operators.parsing import match_log_format, parse_log_format, text_messages
+from logweir.operators.parsing import match_log_format, parse_log_format, text_messages, widen
 from logweir.operators.sessions import sessionize
 
 LOG_FORMAT = "<Label> <Epoch> <Date> <Time> <Node>: <Content>"
@@ -40,9 +40,9 @@ def unsorted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``line_no, line``: raw log text built from the events."""
-    e = table(spark, sf_dir, "events")
-    k, u, i = _k().cast("string"), F.col("user_id").cast("string"), F.col("event_id")
-    ki = _k()
+    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    k, u, i = F.col("k").cast("string"), F.col("user_id").cast("string"), F.col("event_id")
+    ki = F.col("k")
     stamp = F.col("ts").cast("string")
     content = (
         F.when(
@@ -83,7 +83,7 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             (ki % 8).cast("string"), F.lit(": "), more,
         )
     )
-    return e.select(i.alias("line_no"), line.alias("line"))
+    return widen(e.select(i.alias("line_no"), line.alias("line")))
 
 
 def structured_log(spark: SparkSession, sf_dir: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -111,7 +111,7 @@ def sessions(spark: SparkSession, sf_dir: str, block_rows: int = BLOCK_ROWS) ->
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, line_pos, msg``."""
-    return text_messages(table(spark, sf_dir, "documents"))
+    return widen(text_messages(table(spark, sf_dir, "documents")))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
