@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from logweir.catalog.base import HDFS_MASKED, register
+from logweir.catalog.base import HDFS_MASKED, K, register
 from logweir.functions import sequences as S, text as T
 from logweir.operators import dictionaries as D, features as FE, parsing as P, sessions as SE, splits as SP
 from logweir.operators.ordering import dense_position, with_neighbours
@@ -191,34 +191,39 @@ def parse_log_time(spark, sf):
     return V.matched_log(spark, sf).select("line_no", T.parse_log_time(stamp, "yyyy.MM.dd HH:mm:ss").alias("ts_sec"))
 
 
-def _param_lines(spark, sf):
-    log = V.masked_log(spark, sf)
-    return log.where(F.col("Content").rlike("^(Served|PacketResponder)") & ~F.col("Content").rlike(" (mirror|retry) "))
-
-
-@register("extract_params_literal", "l1m", r"""SELECT line_no, CASE WHEN content LIKE 'Served%' THEN
-    regexp_replace(content, 'Served block blk_(\d+) to /(.*)', '\1|\2') ELSE
-    regexp_replace(content, 'PacketResponder (\d+) for block blk_(\d+) terminating', '\1|\2') END AS params
-    FROM (SELECT line_no, content FROM l1m) WHERE regexp_matches(content, '^(Served|PacketResponder)') AND NOT regexp_matches(content, ' (mirror|retry) ')""")
+# Every line's values are known from the event it was built from; suffixes add one block id each.
+PARAMS_SQL = r"""SELECT l1m.line_no, concat_ws('|', CASE event_type
+      WHEN 'click' THEN {click} WHEN 'view' THEN {view} WHEN 'signup' THEN {signup} WHEN 'purchase' THEN {purchase} ELSE {error} END,
+      CASE WHEN l1m.line_no % 50 = 0 THEN {mirror} END, CASE WHEN l1m.line_no % 60 = 0 THEN {u} END) AS params
+    FROM l1m JOIN (SELECT event_id AS line_no, user_id AS u, {k} AS k, event_type FROM events) USING (line_no)"""
+LITERAL_SQL = PARAMS_SQL.format(
+    k=K, u="u || ''", mirror="(u + 1) || ''", click="u || '|10.0.0.' || k || '|' || (5000 + line_no % 1000) || '|10.0.1.' || k || '|50010'",
+    view="u || '|10.0.0.' || k", signup="'10.0.0.' || k || '|50010|' || u || '|' || (100 * k)", purchase="(k % 3) || '|' || u",
+    error="u || '|/data/dir' || (k % 5) || '/f' || k",
+)
+# The pattern form removes block digits, and two wildcards one character apart are one value.
+PATTERN_SQL = PARAMS_SQL.format(
+    k=K, u="''", mirror="''", click="'|10.0.0.' || k || ':' || (5000 + line_no % 1000) || '|10.0.1.' || k || ':50010'",
+    view="'|10.0.0.' || k", signup="'10.0.0.' || k || ':50010||' || (100 * k)", purchase="(k % 3) || '|'",
+    error="'|/data/dir' || (k % 5) || '/f' || k",
+)
+
+
+@register("extract_params_literal", "l1m", LITERAL_SQL)
 def extract_params_literal(spark, sf):
-    return _param_lines(spark, sf).select("line_no", joined(T.extract_params_literal(F.col("Content"), F.col("template"))).alias("params"))
+    return V.masked_log(spark, sf).select("line_no", joined(T.extract_params_literal(F.col("Content"), F.col("template"))).alias("params"))
 
 
-@register("extract_params_regex", "l1m", r"""SELECT line_no, CASE WHEN content LIKE 'Served%' THEN
-    regexp_replace(content, 'Served block blk_(\d+) to /(.*)', '|\2') ELSE
-    regexp_replace(content, 'PacketResponder (\d+) for block blk_(\d+) terminating', '\1|') END AS params
-    FROM (SELECT line_no, content FROM l1m) WHERE regexp_matches(content, '^(Served|PacketResponder)') AND NOT regexp_matches(content, ' (mirror|retry) ')""")
+@register("extract_params_regex", "l1m", PATTERN_SQL)
 def extract_params_regex(spark, sf):
-    return _param_lines(spark, sf).select("line_no", joined(T.extract_params_regex(F.col("Content"), F.col("template"))).alias("params"))
+    return V.masked_log(spark, sf).select("line_no", joined(T.extract_params_regex(F.col("Content"), F.col("template"))).alias("params"))
 
 
-@register("param_arity_check", "l1m", r"""SELECT line_no, slots, found FROM (SELECT line_no, len(string_split(t, '<*>')) - 1 AS slots, CASE
-      WHEN content LIKE 'Exception%' OR content LIKE 'Receiving%' THEN NULL ELSE 2 END AS found
-    FROM (SELECT line_no, content, regexp_replace(template, '<\*> for block blk_<\*>', '<*> for <*>') AS t FROM l1m)
-    WHERE content LIKE 'PacketResponder%' ) WHERE slots <> found""")
+@register("param_arity_check", "l1m", r"""SELECT line_no, len(string_split(template, '<*>')) - 1 AS slots,
+    len(string_split(regexp_replace(template, '<\*>:<\*>', '<*>', 'g'), '<*>')) - 1 AS found FROM l1m WHERE contains(template, '<*>:<*>')""")
 def param_arity_check(spark, sf):
-    log = V.masked_log(spark, sf).where(F.col("Content").startswith("PacketResponder"))
-    log = log.withColumn("params", F.array(F.regexp_extract("Content", r"^PacketResponder (\d+)", 1), F.regexp_extract("Content", r"blk_(\d+)", 1)))
+    log = V.masked_log(spark, sf)
+    log = log.select("line_no", "template", T.extract_params_regex(F.col("Content"), F.col("template")).alias("params"))
     bad = P.param_arity_check(log)
     return bad.select("line_no", T.placeholder_count(F.col("template")).cast("bigint").alias("slots"), F.size("params").cast("bigint").alias("found"))
 

@@ -135,12 +135,12 @@ def build_vocab(spark, sf):
     return D.build_vocab(V.sessions(spark, sf), max_size=15, min_freq=3)
 
 
-@register("extend_vocab", "s1", f"""WITH n AS (SELECT * FROM s1 WHERE session_id LIKE '1%'), base AS {VOCAB.format(src='n')[:-1]} LIMIT 7),
+@register("extend_vocab", "s1", f"""WITH n AS (SELECT * FROM s1 WHERE label = 1), base AS {VOCAB.format(src='n')[:-1]} LIMIT 7),
     other AS {VOCAB.format(src='s1')} SELECT token, idx FROM ({SPECIAL_ROWS}) UNION ALL SELECT token, idx FROM base UNION ALL
     SELECT token, row_number() OVER (ORDER BY token) - 1 + 5 + (SELECT count(*) FROM base) FROM other WHERE token NOT IN (SELECT token FROM base)""".replace("GROUP BY event LIMIT", "GROUP BY event ORDER BY 2 LIMIT"))
 def extend_vocab(spark, sf):
     s = V.sessions(spark, sf)
-    base = D.build_vocab(s.where(F.col("session_id").startswith("1")), max_size=7)
+    base = D.build_vocab(s.where(F.col("label") == 1), max_size=7)
     return D.extend_vocab(base, D.build_vocab(s), sort=True).select("token", "idx")
 
 
@@ -172,7 +172,7 @@ def decode_sequence(spark, sf):
       FROM (SELECT x, count(*) AS n FROM (SELECT unnest([a, b, c]) AS x) GROUP BY x)) AS quantitative, p0 + p1 + p2 AS parameter_sum, next_idx
     FROM nx WHERE pos <= greatest(0, n_events - 3)""")
 def next_event_features(spark, sf):
-    s = V.sessions(spark, sf)
+    s = materialise(V.sessions(spark, sf))
     enc = D.encode_events(s, D.build_vocab_first_seen(s)).withColumn("t", F.col("ts_sec").cast("double"))
     f = W.next_event_features(enc, 3, param="t")
     pairs = F.array_join(F.transform("quantitative", lambda c: F.concat_ws(":", c["item"].cast("string"), c["n"].cast("string"))), " ")
@@ -240,7 +240,7 @@ FIT = """WITH tr AS (SELECT * FROM s1 WHERE label = 0), te AS (SELECT * FROM s1
 
 
 def train_and_test(spark, sf):
-    s = V.sessions(spark, sf)
+    s = materialise(V.sessions(spark, sf))
     return s.where(F.col("label") == 0), s.where(F.col("label") == 1)
 
 
@@ -331,13 +331,11 @@ def dataset_summary(spark, sf):
     return FE.dataset_summary(split_heads(spark, sf))
 
 
-@register("unknown_event_count", "s1", """WITH known AS (SELECT DISTINCT event FROM s1 WHERE label = 0 AND session_id LIKE '1%')
+@register("unknown_event_count", "s1", """WITH known AS (SELECT event FROM s1 WHERE label = 0 GROUP BY event ORDER BY count(*) DESC, event LIMIT 12)
     SELECT count(*) FILTER (event NOT IN (SELECT event FROM known)) AS unknown_events FROM s1 WHERE label = 1""")
 def unknown_event_count(spark, sf):
     train, test = train_and_test(spark, sf)
-    vocab = D.build_vocab_first_seen(train.where(F.col("session_id").startswith("1")), specials=())
-    shifted = vocab.withColumn("idx", F.col("idx") + 1)
-    return FE.unknown_event_count(D.encode_events(test, shifted, unknown=0))
+    return FE.unknown_event_count(D.encode_events(test, D.build_vocab(train, max_size=12)), unknown=D.UNK)
 
 
 @register("sequence_length_distribution", "s1h", "SELECT label, n_events, count(*) AS sessions FROM s1h GROUP BY label, n_events")
@@ -426,8 +424,8 @@ BIGRAM = """WITH big AS (SELECT session_id, pos, label, event AS prev, lead(even
       FROM big LEFT JOIN (SELECT * FROM cand WHERE rank <= 3) c USING (prev, event) WHERE event IS NOT NULL GROUP BY session_id)"""
 
 
-def bigrams(spark, sf):
-    near = O.with_neighbours(V.sessions(spark, sf), ["session_id"], "pos", {"_next": ("event", 1)})
+def bigrams(sessions):
+    near = O.with_neighbours(sessions, ["session_id"], "pos", {"_next": ("event", 1)})
     return near.where(F.col("_next").isNotNull()).select("session_id", "pos", "label", F.col("event").alias("prev"), F.col("_next").alias("event"))
 
 
@@ -436,15 +434,16 @@ def bigram_scores(pairs):
 
 
 def bigram_misses(spark, sf):
-    pairs = bigrams(spark, sf)
+    s = materialise(V.sessions(spark, sf))
+    pairs = bigrams(s)
     lists = CA.candidate_lists(bigram_scores(pairs), 3, ["prev"])
     missed = CA.not_in_top_g(pairs, lists, ["prev"], "event")
-    return missed.join(SE.session_heads(V.sessions(spark, sf)).select("session_id", "label"), "session_id")
+    return missed.join(SE.session_heads(s).select("session_id", "label"), "session_id")
 
 
 @register("top_g_candidates", "s1", BIGRAM + " SELECT prev, event, score, rank FROM cand WHERE rank <= 3")
 def top_g_candidates(spark, sf):
-    return CA.top_g_candidates(bigram_scores(bigrams(spark, sf)), 3, ["prev"])
+    return CA.top_g_candidates(bigram_scores(bigrams(V.sessions(spark, sf))), 3, ["prev"])
 
 
 @register("not_in_top_g", "s1", BIGRAM + " SELECT session_id, label, masked, undetected FROM miss")
@@ -468,7 +467,7 @@ def session_rollup(spark, sf):
 @register("window_accuracy", "s1", BIGRAM + """ SELECT round(avg(CAST(b.event = c.event AS DOUBLE)), 6) AS window_acc, count(*) AS windows
     FROM big b JOIN (SELECT * FROM cand WHERE rank = 1) c USING (prev) WHERE b.event IS NOT NULL""")
 def window_accuracy(spark, sf):
-    pairs = bigrams(spark, sf)
+    pairs = bigrams(materialise(V.sessions(spark, sf)))
     best = CA.top_g_candidates(bigram_scores(pairs), 1, ["prev"]).select("prev", F.col("event").alias("pred_event"))
     acc = E.window_accuracy(O.lookup(pairs, best, ["prev"], "inner"), target="event")
     return acc.withColumn("window_acc", r6("window_acc"))
