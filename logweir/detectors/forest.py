@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from logweir.detectors.blocks import stack
-from logweir.operators.ordering import exact_quantile, hash_rank
+from logweir.operators.ordering import exact_quantile, hash_sample
 
 EULER = 0.5772156649015329
 NODES = "tree int, node int, feature int, cut double, low int, high int, depth double"
@@ -70,7 +70,7 @@ def fit_isolation_forest(
     psi = min(max_samples, n)
     ids = [key]
     if n >= trees * psi:
-        sample = hash_rank(vectors.select(key, vector), ids, seed, (), "_r").where(F.col("_r") < trees * psi)
+        sample = hash_sample(vectors.select(key, vector), ids, F.lit(trees * psi), seed, "_r")
         dealt = sample.withColumn("tree", (F.col("_r") % trees).cast("int"))
     else:
         spread = vectors.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))

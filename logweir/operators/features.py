@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from logweir.functions.vectors import TINY, adaptive_avg_pool, sigmoid_nonzero
 from logweir.operators.ordering import BROADCAST_ROWS, lookup, ordinal
 
-OOV_EVENT = "#OOV"
+# Vectors of a few kilobytes each: this many may be broadcast.
+VECTOR_ROWS = 20_000
 
 
 def event_counts(events: DataFrame, event: str = "event") -> DataFrame:
@@ -180,10 +181,8 @@ def line_context_vector(
     ``placeholders``: ``line_id, event_id, slot, param``, with a NULL slot on the line of a template
     without placeholders. Vectors are given tables keyed by ``(event_id, slot)`` and ``param``.
     """
-    joined = (
-        placeholders.join(template_vectors.withColumnRenamed("vector", "_tv"), ["event_id", "slot"], "left")
-        .join(param_vectors.withColumnRenamed("vector", "_pv"), ["param"], "left")
-    )
+    joined = lookup(placeholders, template_vectors.withColumnRenamed("vector", "_tv"), ["event_id", "slot"], small=VECTOR_ROWS)
+    joined = lookup(joined, param_vectors.withColumnRenamed("vector", "_pv"), ["param"], small=VECTOR_ROWS)
     halves = [((F.get("_tv", F.lit(i)).cast("double") + F.get("_pv", F.lit(i)).cast("double")) / 2) for i in range(dim)]
     mean = F.array(*[F.avg(h) for h in halves])
     grouped = joined.groupBy("line_id").agg(mean.alias("_mean"), F.count("slot").alias("placeholders"))

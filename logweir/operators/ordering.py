@@ -170,6 +170,25 @@ def hash_rank(
     return ranked.drop("_hash", "_prefix")
 
 
+def hash_sample(df: DataFrame, ids: Sequence[str], wanted: Column, seed: int, out: str = "shuffle_rank") -> DataFrame:
+    """The first ``wanted`` rows in the order of ``hash_rank``; ``wanted`` may use ``_total``, the row count.
+
+    The counts of the hash prefixes show which prefix holds the last wanted row, so rows beyond it are
+    dropped before anything is shuffled.
+    """
+    prefix = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *ids)), 1, 4), 16, 10).cast("bigint")
+    counts = df.groupBy(prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_rows"))
+    upto = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
+    table = counts.select("_prefix", F.sum("_rows").over(upto).alias("_upto"), F.sum("_rows").over(Window.partitionBy()).alias("_total"))
+    enough = table.select("_prefix", "_upto", wanted.cast("bigint").alias("_wanted"))
+    limits = enough.agg(
+        F.coalesce(F.min(F.when(F.col("_upto") >= F.col("_wanted"), F.col("_prefix"))), F.lit(1 << 16)).alias("cut"),
+        F.max("_wanted").alias("wanted"),
+    )
+    kept = df.where(prefix <= limits.select("cut").scalar())
+    return hash_rank(kept, ids, seed, (), out).where(F.col(out) < limits.select("wanted").scalar())
+
+
 def ordinal(table: DataFrame, order: Sequence[Column], out: str, start: int = 0, small: int = BROADCAST_ROWS) -> DataFrame:
     """Number a dictionary table in ``order``.
 

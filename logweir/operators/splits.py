@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logweir.operators.ordering import BLOCK_ROWS, dense_position, hash_rank
+from logweir.operators.ordering import BLOCK_ROWS, dense_position, hash_rank, hash_sample
 
 TRAIN, TEST, TEST_NORMAL, TEST_ABNORMAL = "train", "test", "test_normal", "test_abnormal"
 
@@ -71,9 +71,8 @@ def mix_abnormal_into_train(sessions: DataFrame, seed: int, split: str = "split"
 
 def sample_without_replacement(df: DataFrame, ids: list[str], ratio: float | int, seed: int) -> DataFrame:
     """Exactly ``int(n * ratio)`` random rows; an integer is the number of rows."""
-    ranked = hash_rank(df, ids, seed, (), "_rank", "_size")
-    wanted = F.lit(ratio) if isinstance(ratio, int) else F.floor(F.col("_size") * F.lit(float(ratio)))
-    return ranked.where(F.col("_rank") < wanted).drop("_rank", "_size")
+    wanted = F.lit(ratio) if isinstance(ratio, int) else F.floor(F.col("_total") * F.lit(float(ratio)))
+    return hash_sample(df, ids, wanted, seed, "_rank").drop("_rank")
 
 
 def sort_by_length(sessions: DataFrame, size: str = "n_events", key: str = "session_id") -> DataFrame:

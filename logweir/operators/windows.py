@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from logweir.functions.sequences import count_by_item
 from logweir.operators.dictionaries import WINDOW_SPECIALS
-from logweir.operators.ordering import BLOCK_ROWS, dense_position, scan_log, with_neighbours
+from logweir.operators.ordering import BLOCK_ROWS, dense_position, lookup, scan_log, with_neighbours
+from logweir.session import materialise
 
 PAD_EVENT = WINDOW_SPECIALS[1]
 
@@ -256,7 +257,7 @@ def session_features(encoded: DataFrame, length: int = 50, classes: int = 29, id
 def session_semantics(features: DataFrame, vectors: DataFrame, dim: int, key: str = "event_idx", vector: str = "vector") -> DataFrame:
     """Vector per position of the fixed-length ids; id 0 (padding) has a vector of -1."""
     at = features.select("session_id", F.posexplode("sequential").alias("pos", "idx"))
-    joined = at.join(vectors.select((F.col(key) + 1).alias("idx"), F.col(vector).alias("semantic")), "idx", "left")
+    joined = lookup(at, vectors.select((F.col(key) + 1).alias("idx"), F.col(vector).alias("semantic")), ["idx"])
     blank = F.array_repeat(F.lit(-1.0), dim)
     return joined.withColumn("semantic", F.when(F.col("idx") == 0, blank).otherwise(F.col("semantic").cast("array<double>")))
 
@@ -288,9 +289,10 @@ def pad_sequences(
         widths = heads.groupBy(batch).agg(width.alias("width"))
     else:
         widths = heads.select(batch).distinct().withColumn("width", F.lit(seq_len).cast("bigint"))
-    sized = heads.join(widths, batch).select("session_id", batch, "n_events", "width")
+    widths = materialise(widths)
+    sized = lookup(heads, widths, [batch], "inner").select("session_id", batch, "n_events", "width")
     pads = sized.where(F.col("width") > F.col("n_events")).select(
         "session_id", batch, F.explode(F.sequence("n_events", F.col("width") - 1)).alias("pos"), F.lit(pad).cast("bigint").alias("idx"), "width"
     )
-    body = encoded.join(widths, batch).where(F.col("pos") < F.col("width")).select("session_id", batch, "pos", "idx", "width")
+    body = lookup(encoded, widths, [batch], "inner").where(F.col("pos") < F.col("width")).select("session_id", batch, "pos", "idx", "width")
     return body.unionByName(pads)

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from logweir.functions.text import strip
+from logweir.operators.ordering import lookup
+from logweir.session import materialise
+
+# A split's row is about 200 bytes and a split usually 128 MB, so this many describe some 250 TB.
+SPLIT_ROWS = 2_000_000
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """``line_no`` (0-based, file order) and ``line``.
 
     Files are ordered by path. Inside a scan task the running id grows with file position, so every
-    file split needs only its first id and row count to be placed: one small row per split.
+    file split needs only its first id and row count to be placed: one small row per split. The lines
+    themselves are not shuffled. Should the scan be cut differently the second time, some row's id lies
+    outside its split's range and the job fails instead of numbering wrongly.
     """
     raw = spark.read.text(path).select(
         F.col("value").alias("line"),
@@ -19,10 +26,16 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_block_start").alias("_at"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    splits = raw.groupBy("_file", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    splits = materialise(raw.groupBy("_file", "_at").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows")))
     before = Window.orderBy("_file", "_at").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.select("_file", "_at", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    return raw.join(starts, ["_file", "_at"]).select((F.col("_id") + F.col("_shift")).alias("line_no"), "line")
+    starts = splits.select("_file", "_at", "_first", "_rows", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    placed = lookup(raw, starts, ["_file", "_at"], small=SPLIT_ROWS, rows=splits.count())
+    offset = F.col("_id") - F.col("_first")
+    sound = (offset >= 0) & (offset < F.col("_rows"))
+    number = F.when(sound, F.col("_start") + offset).otherwise(
+        F.raise_error(F.lit("file splits changed between two passes; fix spark.sql.files.minPartitionNum"))
+    )
+    return placed.select(number.cast("bigint").alias("line_no"), "line")
 
 
 def read_structured_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
