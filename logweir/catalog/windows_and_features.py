@@ -306,13 +306,13 @@ DT = "(SELECT line_id, CAST(ts_sec - coalesce(lag(ts_sec) OVER (ORDER BY line_id
 
 @register("scale_times", "e1", f"SELECT line_id, round((d - (SELECT min(d) FROM {DT})) / (SELECT max(d) - min(d) FROM {DT}), 6) AS scaled_t FROM {DT}")
 def scale_times(spark, sf):
-    t = W.delta_time(V.timed_events(spark, sf))
+    t = materialise(W.delta_time(V.timed_events(spark, sf)).select("line_id", "delta_t"))
     return FE.scale_times(t, t).select("line_id", r6("scaled_t").alias("scaled_t"))
 
 
 @register("scale_times_standard", "e1", f"SELECT line_id, round((d - (SELECT avg(d) FROM {DT})) / (SELECT stddev_pop(d) FROM {DT}), 6) AS scaled_t FROM {DT}")
 def scale_times_standard(spark, sf):
-    t = W.delta_time(V.timed_events(spark, sf))
+    t = materialise(W.delta_time(V.timed_events(spark, sf)).select("line_id", "delta_t"))
     return FE.scale_times(t, t, method="standard").select("line_id", r6("scaled_t").alias("scaled_t"))
 
 
@@ -320,9 +320,9 @@ VIEWS["s1s"] = (("s1h",), """SELECT *, CASE WHEN label = 1 THEN 'test_abnormal'
     FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('20:' || session_id)) - 1 AS rk, count(*) OVER (PARTITION BY label) AS n FROM s1h)""")
 
 
-def split_heads(spark, sf):
-    heads = SE.session_heads(V.sessions(spark, sf)).select("session_id", "label", "n_events", "first_line")
-    return SP.split_normal_abnormal(heads, 0.6, 20)
+def split_heads(spark, sf, sessions=None):
+    heads = SE.session_heads(V.sessions(spark, sf) if sessions is None else sessions).select("session_id", "label", "n_events", "first_line")
+    return materialise(SP.split_normal_abnormal(materialise(heads), 0.6, 20))
 
 
 @register("dataset_summary", "s1s", """SELECT coalesce(split, 'all') AS split, count(*) AS total, count(*) FILTER (label = 1) AS anomalies, count(*) FILTER (label = 0) AS normals
@@ -512,8 +512,8 @@ NEXT_FIT = NEXT_VIEW + """, spl AS (SELECT session_id, split FROM s1s), w AS (SE
 
 
 def split_sessions(spark, sf):
-    s = V.sessions(spark, sf)
-    split = split_heads(spark, sf).select("session_id", "split", "n_events")
+    s = materialise(V.sessions(spark, sf))
+    split = split_heads(spark, sf, s).select("session_id", "split", "n_events")
     both = materialise(O.spread_join(s.drop("n_events"), split, ["session_id"], "pos", "n_events"))
     return both.where(F.col("split") == "train"), both.where(F.col("split") != "train")
 

@@ -41,7 +41,10 @@ def _with_candidates(rows: DataFrame, model: ContextModel, keys: dict[int, Colum
     out = rows.withColumns({f"_key{k}": key for k, key in keys.items()})
     for k in model.kinds:
         part = model.table.where(F.col("kind") == k).select(F.col("ctx_key").alias(f"_key{k}"), F.col("candidates").alias(f"_cand{k}"))
-        out = lookup(out, part, [f"_key{k}"], small=small, rows=model.rows.get(k, 0))
+        if k == 0:  # one row without context: a value, not a join
+            out = out.withColumn("_cand0", part.select("_cand0").scalar())
+        else:
+            out = lookup(out, part, [f"_key{k}"], small=small, rows=model.rows.get(k, 0))
     best = F.coalesce(*[F.col(f"_cand{k}") for k in model.kinds])
     return out.withColumn("candidates", best).drop(*[f"_key{k}" for k in model.kinds], *[f"_cand{k}" for k in model.kinds])
 

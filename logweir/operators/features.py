@@ -137,13 +137,13 @@ def fit_count_features(
 def scale_times(events: DataFrame, fit_on: DataFrame, time: str = "delta_t", method: str = "minmax") -> DataFrame:
     """Scale delta times by minimum and range, or by mean and population deviation, of ``fit_on``."""
     if method == "minmax":
-        fitted = fit_on.agg(F.min(time).alias("shift"), (F.max(time) - F.min(time)).alias("scale"))
+        fitted = fit_on.agg(F.min(time), F.max(time) - F.min(time))
     elif method == "standard":
-        fitted = fit_on.agg(F.avg(time).alias("shift"), F.stddev_pop(time).alias("scale"))
+        fitted = fit_on.agg(F.avg(time), F.stddev_pop(time))
     else:
         raise ValueError(method)
-    shift, scale = fitted.select("shift").scalar(), fitted.select("scale").scalar()
-    return events.withColumn("scaled_t", (F.col(time) - shift) / F.when(scale == 0, 1.0).otherwise(scale))
+    shift, scale = fitted.first()
+    return events.withColumn("scaled_t", (F.col(time) - F.lit(shift)) / F.lit(scale or 1.0))
 
 
 def dataset_summary(sessions: DataFrame, split: str = "split", label: str = "label") -> DataFrame:

@@ -185,8 +185,8 @@ def hash_sample(df: DataFrame, ids: Sequence[str], wanted: Column, seed: int, ou
         F.coalesce(F.min(F.when(F.col("_upto") >= F.col("_wanted"), F.col("_prefix"))), F.lit(1 << 16)).alias("cut"),
         F.max("_wanted").alias("wanted"),
     )
-    kept = df.where(prefix <= limits.select("cut").scalar())
-    return hash_rank(kept, ids, seed, (), out).where(F.col(out) < limits.select("wanted").scalar())
+    cut, n = limits.first()
+    return hash_rank(df.where(prefix <= cut), ids, seed, (), out).where(F.col(out) < (n or 0))
 
 
 def ordinal(table: DataFrame, order: Sequence[Column], out: str, start: int = 0, small: int = BROADCAST_ROWS) -> DataFrame:

@@ -59,12 +59,8 @@ def split_holdout(df: DataFrame, ids: list[str], valid_share: float, seed: int)
 def mix_abnormal_into_train(sessions: DataFrame, seed: int, split: str = "split", key: str = "session_id") -> DataFrame:
     """Move ``min(n_train / 2, 0.4 n_abnormal)`` shuffled abnormal sessions to the training side."""
     ranked = hash_rank(sessions, [key], seed, [split], "_rank")
-    moved = sessions.agg(
-        F.least(
-            F.floor(F.sum((F.col(split) == TRAIN).cast("bigint")) / 2),
-            F.floor(F.sum((F.col(split) == TEST_ABNORMAL).cast("bigint")) * F.lit(0.4)),
-        ).alias("n")
-    ).scalar()
+    sizes = {r[split]: r["count"] for r in sessions.groupBy(split).count().collect()}
+    moved = min(sizes.get(TRAIN, 0) // 2, int(sizes.get(TEST_ABNORMAL, 0) * 0.4))
     side = F.when(F.col(split) == TRAIN, TRAIN).when((F.col(split) == TEST_ABNORMAL) & (F.col("_rank") < moved), TRAIN).otherwise(TEST)
     return ranked.withColumn("side", side).withColumn("y", (F.col(split) == TEST_ABNORMAL).cast("int")).drop("_rank")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import gcd
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from logweir.functions.sequences import count_by_item
 from logweir.operators.dictionaries import WINDOW_SPECIALS
@@ -14,23 +14,25 @@ from logweir.session import materialise
 PAD_EVENT = WINDOW_SPECIALS[1]
 
 
-def _bounds(log: DataFrame, line: str, time: str) -> DataFrame:
-    return log.agg(F.min_by(time, line).alias("t0"), F.max(time).alias("t1"))
+def _bounds(log: DataFrame, line: str, time: str) -> tuple[int, int]:
+    """Time of the first line and latest time: one pass over two columns, two numbers to the driver."""
+    first = log.agg(F.min_by(time, line), F.max(time)).first()
+    if first[1] is None:
+        raise ValueError("empty log")
+    return first[0], first[1]
 
 
-def _window_span(log: DataFrame, window: int, step: int, line: str, time: str):
-    bounds = _bounds(log, line, time)
-    start = bounds.select("t0").scalar()
-    last = bounds.select(
-        F.greatest(F.lit(0), F.floor((F.col("t1") - F.col("t0") - window) / step) + 1).cast("bigint").alias("k")
-    ).scalar()
-    return start, last
+def _window_span(log: DataFrame, window: int, step: int, line: str, time: str) -> tuple[int, int]:
+    """Start time, and the number of the first window that reaches past the last line."""
+    t0, t1 = _bounds(log, line, time)
+    return t0, max(0, (t1 - t0 - window) // step + 1)
 
 
-def _windows_of(offset, window: int, step: int, last):
-    """Window numbers holding a given offset from the first row's time."""
+def _windows_of(offset: Column, window: int, step: int, last: int) -> Column:
+    """Window numbers holding a given offset from the first line's time; empty for lines after the last window."""
     first = F.greatest(F.lit(0).cast("bigint"), F.floor((offset - window) / step) + 1)
-    return F.sequence(first, F.least(last, F.floor(offset / step)))
+    until = F.least(F.lit(last).cast("bigint"), F.floor(offset / step))
+    return F.when(first <= until, F.sequence(first, until))
 
 
 def sliding_time_windows(
@@ -49,9 +51,15 @@ def sliding_time_windows(
     one that reaches past the last row; empty windows are absent; windows of the same lines collapse.
     Rows are summed per pane (the common divisor of window and step) before panes go to windows.
     """
+    start, last = _window_span(log, window, step, line, time)
+    return _sliding(log, window, step, start, last, line, time, label, block_rows, collapse)
+
+
+def _sliding(
+    log: DataFrame, window: int, step: int, start: int, last: int, line: str, time: str, label: str, block_rows: int, collapse: bool
+) -> DataFrame:
     if step > window:
         raise ValueError("step larger than the window")
-    start, last = _window_span(log, window, step, line, time)
     pane = gcd(window, step)
     scanned = scan_log(log, line, time, block_rows)
     panes = (
@@ -66,7 +74,6 @@ def sliding_time_windows(
     )
     windows = (
         panes.withColumn("_span", _windows_of(F.col("_offset"), window, step, last))
-        .where(F.size("_span") > 0)
         .withColumn("k", F.explode("_span"))
         .groupBy("k")
         .agg(
@@ -95,12 +102,11 @@ def sliding_time_window_events(
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Events of every sliding window: ``session_id, pos, n_events, session_label, delta_t`` plus the log columns."""
-    windows = sliding_time_windows(log, window, step, line, time, label, block_rows)
     start, last = _window_span(log, window, step, line, time)
+    windows = _sliding(log, window, step, start, last, line, time, label, block_rows, True)
     lines = (
         scan_log(log, line, time, block_rows)
         .withColumn("_span", _windows_of(F.col("time_so_far") - start, window, step, last))
-        .where(F.size("_span") > 0)
         .withColumn("k", F.explode("_span"))
         .withColumn("_part", F.floor(F.col("line_idx") / block_rows))
     )
@@ -136,9 +142,9 @@ def tumbling_time_windows(log: DataFrame, size: int, time: str = "ts_sec", label
         log.groupBy((F.floor(F.col(time) / size) * size).alias("bin_start"))
         .agg(F.count(F.lit(1)).alias("n_events"), F.max(label).alias("label"))
     )
-    grid = log.agg(
-        (F.floor(F.min(time) / size) * size).alias("lo"), (F.floor(F.max(time) / size) * size).alias("hi")
-    ).select(F.explode(F.sequence("lo", "hi", F.lit(size).cast("bigint"))).alias("bin_start"))
+    lo, hi = log.agg(F.min(time), F.max(time)).first()
+    first, last = lo // size * size, hi // size * size
+    grid = log.sparkSession.range(first, last + 1, size).withColumnRenamed("id", "bin_start")
     return grid.join(binned, "bin_start", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)))
 
 
@@ -163,43 +169,39 @@ def window_event_counts(
     ``strict_reference`` moves the window end from the last event time of the first window, and the
     window start never passes the end of the window before; otherwise both ends follow the plain rule.
     """
-    w, s = F.lit(window), F.lit(step)
-    scanned = scan_log(log, line, time, block_rows)
-    bounds = _bounds(log, line, time)
-    t0, t1 = bounds.select("t0").scalar(), bounds.select("t1").scalar()
-    offset = F.col("m") - F.col("t0")
+    t0, t1 = _bounds(log, line, time)
+    offset = F.col("m") - t0
+    if strict_reference:
+        beyond = log.where(F.col(time) >= t0 + window).agg(F.min(line)).first()[0]
+        if beyond is None:
+            first_end, last = t1, -1
+        else:
+            first_end = log.where(F.col(line) < beyond).agg(F.max_by(time, line)).first()[0]
+            last = (t1 - first_end) // step + 1
+        late = F.when(offset >= window, F.floor((F.col("m") - first_end) / step) + 1).otherwise(0)
+        lowest, highest = late, F.greatest(F.floor(offset / step), late)
+    else:
+        last = max(0, (t1 - t0 - window) // step + 1)
+        lowest = F.greatest(F.lit(0), F.floor((offset - window) / step) + 1)
+        highest = F.floor(offset / step)
     cells = (
-        scanned.groupBy(F.col("time_so_far").alias("m"), event)
+        scan_log(log, line, time, block_rows)
+        .groupBy(F.col("time_so_far").alias("m"), event)
         .agg(F.count(F.lit(1)).alias("n"), F.max(label).alias("label"))
     )
-    if strict_reference:
-        first_end = scanned.where(F.col("time_so_far") < t0 + w).agg(F.max_by(time, "line_idx").alias("e")).scalar()
-        limits = bounds.select("t0", "t1", first_end.alias("e0"))
-        last = F.when(F.col("t1") >= F.col("t0") + w, F.floor((F.col("t1") - F.col("e0")) / s) + 1)
-        limits = limits.withColumn("k_last", last)
-        late = F.floor((F.col("m") - F.col("e0")) / s) + 1
-        past_first = offset >= w
-        lowest = F.when(past_first, late).otherwise(F.lit(0))
-        highest = F.greatest(F.floor(offset / s), F.when(past_first, late).otherwise(F.lit(0)))
-    else:
-        limits = bounds.withColumn("e0", F.lit(0).cast("bigint")).withColumn(
-            "k_last", F.greatest(F.lit(0), F.floor((F.col("t1") - F.col("t0") - w) / s) + 1)
-        )
-        lowest = F.greatest(F.lit(0), F.floor((offset - w) / s) + 1)
-        highest = F.floor(offset / s)
-    fixed = [limits.select(c).scalar().alias(c) for c in ("t0", "e0", "k_last")]
     spread = (
-        cells.select("*", *fixed)
-        .where(F.col("k_last").isNotNull())
-        .withColumn("_hi", F.least("k_last", highest))
+        cells.withColumn("_hi", F.least(F.lit(last), highest).cast("bigint"))
         .withColumn("_lo", lowest.cast("bigint"))
-        .where(F.col("_lo") <= F.col("_hi"))
-        .withColumn("k", F.explode(F.sequence("_lo", "_hi")))
+        .withColumn("k", F.explode(F.when(F.col("_lo") <= F.col("_hi"), F.sequence("_lo", "_hi"))))
     )
     counts = spread.groupBy("k", event).agg(F.sum("n").alias("n"), F.max("label").alias("label"))
     labels = counts.groupBy("k").agg(F.max("label").alias("label"))
-    grid = limits.where(F.col("k_last").isNotNull()).select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k_last").cast("bigint"))).alias("k"))
-    windows = grid.join(labels, "k", "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    windows = (
+        log.sparkSession.range(last + 1)
+        .withColumnRenamed("id", "k")
+        .join(labels, "k", "left")
+        .withColumn("label", F.coalesce("label", F.lit(0)))
+    )
     return windows, counts.drop("label")
 
 

@@ -103,7 +103,7 @@ def masked_log(spark: SparkSession, sf_dir: str, patterns=NUMBER_MASKS) -> DataF
 def sessions(spark: SparkSession, sf_dir: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``session_id, pos, line_id, event, ts_sec, label, n_events, first_line``; a session is a user's week."""
     e = timed_events(spark, sf_dir)
-    start = e.agg(F.min("ts_sec").alias("t")).scalar()
+    start = e.agg(F.min("ts_sec")).first()[0]
     keyed = e.withColumn("session_id", F.concat_ws("_", "user_id", F.floor((F.col("ts_sec") - start) / WEEK).cast("string")))
     keyed = keyed.withColumnRenamed("label", "line_label").drop("user_id")
     return sessionize(keyed, totals={"label": ("max", "line_label")}, block_rows=block_rows).drop("line_label")
