@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweir.catalog import base, sources_and_text, vectors_and_mining, windows_and_features
+from logweir.catalog import base, flows, sources_and_text, vectors_and_mining, windows_and_features
 
 
 def queries() -> dict[str, base.Query]:

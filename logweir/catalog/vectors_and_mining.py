@@ -247,6 +247,18 @@ def invariants_detector(spark, sf):
     return L.score_invariants(test, model).select("session_id", "label", r6("violation").alias("violation"), "pred")
 
 
+@register("invariants_score", "s1", f"""WITH n AS (SELECT session_id, count(*) FILTER (event LIKE 'click%') AS a, count(*) FILTER (event LIKE 'view%') AS b,
+    count(*) FILTER (event LIKE 'signup%') AS c, max(label) AS label FROM s1 GROUP BY session_id)
+    SELECT session_id, label, CAST(abs(a - b) + abs(a - 2 * c) AS DOUBLE) AS violation, CAST(abs(a - b) + abs(a - 2 * c) > 1e-6 AS INTEGER) AS pred FROM n""")
+def invariants_score(spark, sf):
+    """Relations taken as given: clicks = views, clicks = 2 signups."""
+    s = V.sessions(spark, sf)
+    kinds = [F.sum(F.col("event").startswith(k).cast("double")) for k in ("click", "view", "signup")]
+    x = s.groupBy("session_id").agg(F.array(*kinds).alias("features"), F.max("label").alias("label"))
+    model = L.Invariants({(0, 1): [1.0, -1.0], (0, 2): [1.0, -2.0]}, 3, 2)
+    return L.score_invariants(x, model).select("session_id", "label", r6("violation").alias("violation"), "pred")
+
+
 @register("log_clustering_fit")
 def log_clustering_fit(spark, sf):
     train, test = count_vectors(spark, sf, weighting="tf-idf")

@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from logweir.detectors.context_counts import fit_next_event, next_event_results, score_next_event
+from logweir.detectors.context_counts import (
+    fit_next_event,
+    masked_event_detector,
+    next_event_detector,
+    next_event_results,
+    score_next_event,
+)
 from logweir.functions import text as T
-from logweir.operators.dictionaries import apply_event_rank, event_rank, template_occurrences
-from logweir.operators.evaluation import classification_metrics, session_verdict
+from logweir.operators.dictionaries import apply_event_rank, event_rank
+from logweir.operators.evaluation import classification_metrics, session_verdict, threshold_sweep
+from logweir.operators.features import fit_count_features
+from logweir.operators.mining import drain_templates, mining_result
+from logweir.operators.ordering import spread_join
 from logweir.operators.parsing import match_log_format
-from logweir.operators.sessions import sessionize
-from logweir.operators.windows import next_event_windows
+from logweir.operators.sessions import join_session_labels, session_heads, sessionize, sessionize_by_key
+from logweir.operators.splits import TRAIN, split_normal_abnormal, take_prefix
+from logweir.operators.windows import chunk_sequence, next_event_windows, sliding_time_window_events
 from logweir.session import materialise
 
 
@@ -41,3 +52,110 @@ def unusual_successors(sessions: DataFrame, width: int = 1, g: int = 3, threshol
 
 def flow_metrics(verdicts: DataFrame) -> DataFrame:
     return classification_metrics(verdicts, "pred", "label")
+
+
+@dataclass(frozen=True)
+class LogPreset:
+    """How one kind of log is parsed, mined, grouped and split."""
+
+    log_format: str
+    masks: tuple[str, ...]
+    depth: int
+    st: float
+    max_child: int = 100
+    time_fields: tuple[str, ...] = ()
+    time_pattern: str = ""
+    window: int = 0
+    step: int = 0
+    train: float = 0.8
+    seed: int = 12
+    prefix_lines: int | None = None
+    merge_wildcards: bool = False
+
+
+# Settings per public log collection (train from 1 on is a number of sessions).
+HDFS = LogPreset(T.HDFS_FORMAT, T.HDFS_MASKS, 5, 0.5, train=0.8, seed=20)
+BGL = LogPreset(T.BGL_FORMAT, T.BGL_MASKS, 3, 0.3, time_fields=("Time",), time_pattern="yyyy-MM-dd-HH.mm.ss.SSSSSS", window=300, step=60, train=0.6, merge_wildcards=True)
+THUNDERBIRD = LogPreset(
+    T.THUNDERBIRD_FORMAT, T.THUNDERBIRD_MASKS, 3, 0.3, 1000, ("Date", "Time"), "yyyy.MM.dd HH:mm:ss", 60, 30, train=6000, prefix_lines=20_000_000
+)
+
+
+def mined_log(lines: DataFrame, preset: LogPreset) -> tuple[DataFrame, DataFrame]:
+    """Raw ``line_no, line`` to the structured log with event ranks, and the template dictionary."""
+    if preset.prefix_lines is not None:
+        lines = take_prefix(lines, preset.prefix_lines, idx="line_no")
+    log = match_log_format(lines, preset.log_format).withColumnRenamed("line_no", "line_id")
+    tokens = T.tokenize_ws(T.mask_variables(F.col("Content"), preset.masks))
+    stored = materialise(log.withColumn("tokens", tokens))
+    mined = drain_templates(stored, preset.depth, preset.st, preset.max_child)
+    structured, dictionary = mining_result(mined.drop("tokens"), across_spaces=preset.merge_wildcards)
+    dictionary = materialise(dictionary)
+    ranked = apply_event_rank(structured.drop("cluster", "cluster_template"), event_rank(dictionary))
+    return materialise(ranked.withColumn("event", F.col("event_rank").cast("string"))), dictionary
+
+
+def keyed_sessions(structured: DataFrame, labels: DataFrame, preset: LogPreset) -> DataFrame:
+    """Sessions by the keys in the text, with the labels of a label table and the split of each session.
+
+    A session without a label is in no split and is left out.
+    """
+    found = materialise(sessionize_by_key(structured.select("line_id", "Content", "event")).drop("Content"))
+    heads = join_session_labels(session_heads(found).select("session_id", "n_events"), labels)
+    return _with_split(found, heads, preset)
+
+
+def timed_sessions(structured: DataFrame, preset: LogPreset) -> DataFrame:
+    """Sliding-window sessions with the label of the lines and the split of each window."""
+    stamp = F.concat_ws(" ", *preset.time_fields)
+    log = structured.select(
+        "line_id", "event", T.parse_log_time(stamp, preset.time_pattern).alias("ts_sec"), T.binarize_label(F.col("Label")).alias("label")
+    )
+    found = sliding_time_window_events(materialise(log), preset.window, preset.step)
+    first = (F.col("line_idx") - F.col("pos")).alias("first_line")
+    kept = ["session_id", "pos", "n_events", "line_id", "event", "delta_t", first, F.col("session_label").alias("label")]
+    found = materialise(found.select(*kept))
+    return _with_split(found.drop("label"), session_heads(found).select("session_id", "n_events", "label"), preset)
+
+
+def _with_split(events: DataFrame, heads: DataFrame, preset: LogPreset) -> DataFrame:
+    split = split_normal_abnormal(heads, preset.train, preset.seed).select("session_id", "label", "split", "n_events")
+    return materialise(spread_join(events.drop("n_events"), split, ["session_id"], "pos", "n_events"))
+
+
+def train_part(sessions: DataFrame) -> DataFrame:
+    return sessions.where(F.col("split") == TRAIN)
+
+
+def test_part(sessions: DataFrame) -> DataFrame:
+    return sessions.where(F.col("split") != TRAIN)
+
+
+test_part.__test__ = False
+
+
+def masked_event_verdicts(sessions: DataFrame, g: int, mask_ratio: float, threshold: float, seed: int = 1, seq_len: int | None = 512, min_len: int = 10) -> DataFrame:
+    """Mask, predict from both sides, and judge each test session by its share of unexpected events."""
+
+    def fitted_part(part: DataFrame) -> DataFrame:
+        cut = chunk_sequence(part, adaptive=True, seq_len=seq_len, min_len=min_len).drop("chunk", "chunk_pos")
+        return cut if seq_len is None else cut.withColumn("n_events", F.least("n_events", F.lit(seq_len)))
+
+    results = masked_event_detector(fitted_part(train_part(sessions)), fitted_part(test_part(sessions)), g, mask_ratio, seed)
+    return session_verdict(results, threshold, "undetected_tokens", "masked_tokens")
+
+
+def next_event_sweep(sessions: DataFrame, width: int = 10, g: int = 9, min_len: int = 10) -> DataFrame:
+    """Next-event detector with thresholds 0..9 on its miss counts."""
+    kept = sessions.where(F.col("n_events") >= min_len)
+    return threshold_sweep(next_event_detector(train_part(kept), test_part(kept), width, g), undetected="logkey_anomaly")
+
+
+def count_vectors(sessions: DataFrame, weighting: str | None = None, normalization: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Count vectors of the training and test sessions for the vector detectors."""
+    fitted = fit_count_features(train_part(sessions), weighting, normalization)
+
+    def part(events: DataFrame) -> DataFrame:
+        return materialise(fitted.vectors(events).join(session_heads(events).select("session_id", "label", "first_line"), "session_id"))
+
+    return part(train_part(sessions)), part(test_part(sessions))
