@@ -78,7 +78,7 @@ def fit_isolation_forest(
         dealt = spread.withColumn("_r", F.row_number().over(draw)).where(F.col("_r") <= psi)
     limit = int(np.ceil(np.log2(max(psi, 2))))
 
-    def grow(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         nodes = grow_tree(stack(pdf[vector]), np.random.default_rng([seed, int(k[0])]), limit)
         out = pd.DataFrame(nodes, columns=["node", "feature", "cut", "low", "high", "depth"])

@@ -47,10 +47,10 @@ def carry_fold(messages: DataFrame, make: Callable, block_messages: int = BLOCK_
         out = pd.concat(parts, ignore_index=True).reindex(columns=["grp", "msg_id", "cluster", "template", "state"])
         return out.astype({"msg_id": "Int64", "cluster": "Int64"}).astype(object).where(lambda d: d.notna(), None)
 
-    def first(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return run(pdf, key[0], None)
 
-    def later(key, before: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+    def later(key: tuple, before: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
             return pd.DataFrame(columns=["grp", "msg_id", "cluster", "template", "state"])
         return run(pdf, key[0], None if before.empty else before["state"].iloc[0])
