@@ -40,8 +40,8 @@ def fit_one_class_svm(
 ) -> Boundary:
     """Minimise ``|w|^2 / 2 - rho + mean(hinge(rho - w.z)) / nu``; rho is the nu-quantile of the scores.
 
-    Equal vectors are counted once with a weight. Each step is one pass that sums the gradient; for
-    fixed w the best rho is the nu-quantile, which a histogram of the pass before approximates.
+    Equal vectors are counted once with a weight. Each step is one pass that sums the gradient and a
+    histogram of the scores; for fixed w the best rho is the nu-quantile, taken from the pass before.
     """
     width = width_of(vectors, vector)
     g = scale_gamma(vectors, width, vector) if gamma == "scale" else float(gamma)
@@ -51,25 +51,28 @@ def fit_one_class_svm(
     edges = np.linspace(-2, 2, 2_001)
     n = float(counted.agg(F.sum("weight")).first()[0])
 
-    def mean_feature(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return (w @ model.features(x))[None, :]
+    def one_pass(m: Boundary) -> tuple[np.ndarray, np.ndarray]:
+        """Weighted sum of the rows below rho, and the histogram of all scores."""
 
-    model.weights = sum_matrix(counted, mean_feature, ["features", "weight"], (1, dims))[0] / n
-    for step in range(steps):
-        current = Boundary(model.frequencies, model.phases, model.weights, model.rho)
+        def part(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+            z = m.features(x)
+            scores = z @ m.weights
+            return np.concatenate([(w * (scores < m.rho)) @ z, np.histogram(scores, edges, weights=w)[0]])[None, :]
 
-        def spread(x: np.ndarray, w: np.ndarray, m: Boundary = current) -> np.ndarray:
-            return np.histogram(m.features(x) @ m.weights, edges, weights=w)[0][None, :]
+        row = sum_matrix(counted, part, ["features", "weight"], (1, dims + len(edges) - 1))[0]
+        return row[:dims], row[dims:]
 
-        below = np.cumsum(sum_matrix(counted, spread, ["features", "weight"], (1, len(edges) - 1))[0])
-        rho = float(edges[min(int(np.searchsorted(below, nu * n)), len(edges) - 2) + 1])
+    def quantile_of(histogram: np.ndarray) -> float:
+        below = np.cumsum(histogram)
+        return float(edges[min(int(np.searchsorted(below, nu * n)), len(edges) - 2) + 1])
 
-        def pull(x: np.ndarray, w: np.ndarray, m: Boundary = current, r: float = rho) -> np.ndarray:
-            z = m.features(x)
-            return ((w * (z @ m.weights < r)) @ z)[None, :]
-
-        target = sum_matrix(counted, pull, ["features", "weight"], (1, dims))[0] / (nu * n)
-        model.weights = current.weights + (target - current.weights) * 2 / (step + 3)
+    model.rho = np.inf
+    model.weights = one_pass(model)[0] / n
+    model.rho = quantile_of(one_pass(model)[1])
+    for step in range(steps):
+        pull, histogram = one_pass(model)
+        moved = model.weights + (pull / (nu * n) - model.weights) * 2 / (step + 3)
+        model = Boundary(model.frequencies, model.phases, moved, quantile_of(histogram))
     scored = with_boundary_score(vectors.select(vector), model, vector).select("score").persist()
     try:
         model.rho = exact_quantile(scored, "score", nu)

@@ -75,8 +75,9 @@ def match_groups(text: Column, pattern: str, groups: int) -> Column:
 
 
 def mask_variables(text: Column, patterns: Sequence[str]) -> Column:
+    """Each pattern in order becomes the wildcard; classes like ``\\d`` and ``\\w`` cover all scripts."""
     for pattern in patterns:
-        text = F.regexp_replace(text, pattern, WILDCARD)
+        text = F.regexp_replace(text, f"(?sU){pattern}", WILDCARD)
     return text
 
 

@@ -119,7 +119,7 @@ class CountFeatures:
 
 
 def fit_count_features(
-    events: DataFrame, weighting: str | None = None, normalization: str | None = None, oov: bool = False, min_count: int = 1, max_width: int = 65_536
+    events: DataFrame, weighting: str | None = None, normalization: str | None = None, oov: bool = False, min_count: int = 1, max_width: int = 4_096
 ) -> CountFeatures:
     columns = fit_event_columns(events, min_count=min_count if oov else 1)
     if columns.rows > max_width:

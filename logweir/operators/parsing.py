@@ -32,13 +32,13 @@ def parse_log_format(lines: DataFrame, log_format: str, line: str = "line", orde
     return line_index(match_log_format(lines, log_format, line), order, "line_id", 1, block_rows)
 
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spread rows over all cores when the scan has fewer tasks than that (a few small files).
+def widen(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread rows over all cores by ``keys`` when the scan has fewer tasks than that (a few small files).
 
     A scan with enough tasks is left alone, so large inputs pay no extra shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
 def text_messages(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -40,7 +40,7 @@ def unsorted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``line_no, line``: raw log text built from the events."""
-    e = table(spark, sf_dir, "events").withColumn("k", _k())
+    e = widen(table(spark, sf_dir, "events"), "event_id").withColumn("k", _k())
     k, u, i = F.col("k").cast("string"), F.col("user_id").cast("string"), F.col("event_id")
     ki = F.col("k")
     stamp = F.col("ts").cast("string")
@@ -83,7 +83,7 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             (ki % 8).cast("string"), F.lit(": "), more,
         )
     )
-    return widen(e.select(i.alias("line_no"), line.alias("line")))
+    return e.select(i.alias("line_no"), line.alias("line"))
 
 
 def structured_log(spark: SparkSession, sf_dir: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -111,7 +111,7 @@ def sessions(spark: SparkSession, sf_dir: str, block_rows: int = BLOCK_ROWS) ->
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, line_pos, msg``."""
-    return widen(text_messages(table(spark, sf_dir, "documents")))
+    return widen(text_messages(table(spark, sf_dir, "documents")), "doc_id", "line_pos")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
