@@ -149,3 +149,8 @@ def test_repository_holds_no_data():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     big = [f for d, _, fs in os.walk(root) if ".git" not in d for f in fs if os.path.getsize(os.path.join(d, f)) > 1_000_000]
     assert not big
+
+
+def test_masks_cover_other_scripts(spark):
+    assert one(spark, T.mask_variables(F.col("t"), T.HDFS_MASKS), t="in /données/été ok") == "in <*> ok"
+    assert one(spark, T.mask_variables(F.col("t"), [r"\d+"]), t="n ٣٤ m") == "n <*> m"
