@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweir.llm import queries_filters, registry  # noqa: F401
+from logweir.llm import queries_filters, queries_layout, registry  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
