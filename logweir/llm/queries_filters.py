@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweir.llm import quality_rules
+from logweir.llm import quality_rules, url_filters
 from logweir.llm.common import table
 from logweir.llm.registry import register
 
@@ -43,3 +43,20 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality_rules.passes("full-1").alias("kept"),
         "fail_bits",
     )
+
+
+HOST_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@register("op7_url_rules")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the row of ``labels`` with its id: bad if of low quality or toxic."""
+    bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"), labels, HOST_RULES)

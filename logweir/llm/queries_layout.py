@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweir.llm import sharding
+from logweir.llm import sharding, warc
 from logweir.llm.common import table
 from logweir.llm.registry import register
 
@@ -15,3 +15,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@register("op10_warc_round_trip")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest, folder = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return warc.read_archives(manifest, folder, payloads=False)
