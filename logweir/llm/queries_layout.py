@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweir.llm import sharding, warc
+from logweir.llm import packing, sharding, warc
 from logweir.llm.common import table
 from logweir.llm.registry import register
 
@@ -21,3 +22,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest, folder = warc.archive_pages(table(spark, sf_dir, "pages"))
     return warc.read_archives(manifest, folder, payloads=False)
+
+
+@register("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0), 2048)
