@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logweir.llm import quality_rules
-from logweir.llm.common import stored
+from logweir.llm import line_chunks, quality_rules
+from logweir.llm.common import WORD, stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -18,8 +18,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.quality_ledger(whole, keep=["doc"]).where(quality_rules.passes("full-1")).select("doc.*")
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the line chunks that stand elsewhere before; those that lose all their words go."""
+    found = line_chunks.dedup_lines(docs)
+    lost = (F.col("removed_chunks") > 0) & ~F.col("kept").rlike(WORD)
+    columns = [F.col(f"doc.`{c}`") for c in docs.columns]
+    changed = found.where(~lost).select(*columns, F.col("kept").alias("_kept"), (F.col("removed_chunks") > 0).alias("_changed"))
+    return changed.select(*[_after(c).alias(c) for c in docs.columns])
+
+
+def _after(column: str) -> Column:
+    if column == "text":
+        return F.col("_kept")
+    if column == "n_chars":
+        return F.when(F.col("_changed"), F.length("_kept").cast("long")).otherwise(F.col("n_chars"))
+    return F.col(f"`{column}`")
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality", quality),
+    ("line_dedup", line_dedup),
 ]
 
 ORACLE_SQL = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweir.llm import quality_rules, url_filters
+from logweir.llm import line_chunks, quality_rules, url_filters
 from logweir.llm.common import table
 from logweir.llm.registry import register
 
@@ -60,3 +60,26 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = (F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), labels, HOST_RULES)
+
+
+@register(
+    "op6_line_chunks",
+    sql=r"""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS line, len(ls) AS n
+            FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+        h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
+        e AS (SELECT *, (coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 31 + h) % 3 = 0 AS is_end FROM h),
+        c AS (SELECT *, coalesce(sum(is_end::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e),
+        g AS (SELECT doc_id, chunk, min(i) AS start, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, chunk),
+        r AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) AS place FROM g
+            WHERE lines > 1 AND regexp_matches(body, '[^\x20\x09-\x0D]')),
+        kept AS (SELECT g.doc_id, string_agg(g.body, chr(10) ORDER BY g.start) AS text FROM g LEFT JOIN r USING (doc_id, chunk)
+            WHERE coalesce(r.place, 1) = 1 GROUP BY g.doc_id),
+        gone AS (SELECT doc_id, CAST(sum(lines) AS BIGINT) AS lines, count(*) AS chunks FROM r WHERE place > 1 GROUP BY doc_id)
+    SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text,
+        CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines,
+        CAST(coalesce(gone.lines, 0) AS BIGINT) AS removed_lines, CAST(coalesce(gone.chunks, 0) AS BIGINT) AS removed_chunks
+    FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)""",
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_chunks.dedup_lines(docs).select("doc.doc_id", F.col("kept").alias("text"), "n_lines", "removed_lines", "removed_chunks")
