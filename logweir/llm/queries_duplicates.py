@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweir.llm import near_duplicates
+from logweir.llm import decontamination, near_duplicates
 from logweir.llm.common import table
 from logweir.llm.registry import register
 
@@ -28,3 +28,15 @@ _SETS = r"""t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, '')
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@register(
+    "op2_benchmark_passages",
+    sql=f"""WITH {_SETS.format(k=5)},
+    {_SETS.format(k=5).replace("doc_id", "item_id").replace("FROM documents", "FROM benchmark").replace("t AS", "bt AS").replace("s AS", "bs AS").replace("FROM t)", "FROM bt)")},
+    n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
+    SELECT doc_id, item_id, CAST(n AS BIGINT) AS item_shingles, count(*) AS shared
+    FROM s JOIN bs USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=5, percent=80).drop("key")
