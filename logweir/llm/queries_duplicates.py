@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweir.llm import decontamination, near_duplicates
+from logweir.llm import decontamination, long_matches, near_duplicates
 from logweir.llm.common import table
 from logweir.llm.registry import register
 
@@ -40,3 +40,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=5, percent=80).drop("key")
+
+
+@register("op3_run_index_matches")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_matches.without_long_matches(table(spark, sf_dir, "documents"), length=400).drop("kept")
