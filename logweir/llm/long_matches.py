@@ -99,7 +99,7 @@ def marked_windows(stretches: list[bytes], copies: list[int], length: int) -> li
 
 
 def _index_marks(groups: DataFrame, length: int) -> DataFrame:
-    """Marks (digest, start, last) from rows (hash, stretch, digest, start) in which all of a hash are in one partition, sorted."""
+    """Marks (digest, start, last) from rows (hash, stretch, digest, starts) in which all of a hash are in one partition, sorted."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[bytes, list] = {}
@@ -107,13 +107,12 @@ def _index_marks(groups: DataFrame, length: int) -> DataFrame:
 
         def flush() -> pd.DataFrame:
             stretches = list(held)
-            # a stretch of one text may stand in it twice: each place counts
-            found = marked_windows(stretches, [len(held[s]) for s in stretches], length)
-            rows = [(d, at + a, at + b) for s, ranges in zip(stretches, found, strict=True) for d, at in held[s] for a, b in ranges]
+            found = marked_windows(stretches, [sum(len(at) for _, at in held[s]) for s in stretches], length)
+            rows = [(d, int(x) + a, int(x) + b) for s, ranges in zip(stretches, found, strict=True) for d, at in held[s] for x in at for a, b in ranges]
             return pd.DataFrame(rows, columns=["digest", "start", "last"])
 
         for batch in batches:
-            for name, stretch, digest, start in zip(batch["hash"], batch["stretch"], batch["digest"], batch["start"], strict=True):
+            for name, stretch, digest, starts in zip(batch["hash"], batch["stretch"], batch["digest"], batch["starts"], strict=True):
                 if name != previous and size >= BLOCK:
                     yield flush()
                     held, size = {}, 0
@@ -122,7 +121,7 @@ def _index_marks(groups: DataFrame, length: int) -> DataFrame:
                 if places is None:
                     held[stretch] = places = []
                     size += len(stretch) + 1
-                places.append((digest, start))
+                places.append((digest, starts))
         if held:
             yield flush()
 
@@ -134,28 +133,42 @@ def _counted_marks(stretches: DataFrame, length: int) -> DataFrame:
 
     def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in range(0, len(batch), 512):
-                some = batch.iloc[part : part + 512]
-                firsts, seconds, digests, starts = [], [], [], []
-                for stretch, digest, start in zip(some["stretch"], some["digest"], some["start"], strict=True):
-                    data = np.frombuffer(stretch, np.uint8)
-                    firsts.append(_rolling(data, length, _BASES[0]))
-                    seconds.append(_rolling(data, length, _BASES[1]))
-                    digests += [digest] * len(firsts[-1])
-                    starts.append(np.arange(start, start + len(firsts[-1])))
+            for part in range(0, len(batch), 1024):
+                some = batch.iloc[part : part + 1024]
+                # all stretches at once; windows that meet a separator are left out
+                joined = np.frombuffer(bytes([SEPARATOR]).join(some["stretch"]), np.uint8)
+                counts = np.array([len(x) - length + 1 for x in some["stretch"]])
+                begins = np.r_[0, np.cumsum(counts + length)[:-1]]
+                shift = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                at = np.repeat(begins, counts) + shift
+                which = np.repeat(np.arange(len(some)), counts)
                 yield pd.DataFrame(
                     {
-                        "a": np.concatenate(firsts).view(np.int64),
-                        "b": np.concatenate(seconds).view(np.int64),
-                        "digest": digests,
-                        "start": np.concatenate(starts),
+                        "a": _rolling(joined, length, _BASES[0]).view(np.int64)[at],
+                        "b": _rolling(joined, length, _BASES[1]).view(np.int64)[at],
+                        "id": some["id"].to_numpy()[which],
+                        "shift": shift.astype(np.int32),
+                        "n": np.array([len(x) for x in some["starts"]])[which],
                     }
                 )
 
-    windows = stretches.select("stretch", "digest", "start").mapInPandas(name, "a long, b long, digest binary, start long")
-    fixed = stored(windows, "hot-windows")
-    twice = fixed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
-    return fixed.join(twice, ["a", "b"]).select("digest", "start", F.col("start").alias("last"))
+    # The windows of a stretch are named by their place in it; stretches have numbers of their own.
+    numbered = stored(stretches.withColumn("id", F.monotonically_increasing_id()), "hot-stretches")
+    fixed = stored(numbered.select("id", "stretch", "starts").mapInPandas(name, "a long, b long, id long, shift int, n long"), "hot-windows")
+    twice = fixed.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b")
+    found = fixed.join(twice, ["a", "b"]).groupBy("id").agg(F.collect_list("shift").alias("shifts"))
+    places = numbered.select("id", "digest", "starts").join(found, "id")
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for digest, starts, shifts in zip(batch["digest"], batch["starts"], batch["shifts"], strict=True):
+                flags = np.zeros(int(max(shifts)) + 1, bool)
+                flags[shifts] = True
+                rows += [(digest, int(x) + a, int(x) + b) for x in starts for a, b in _runs(flags)]
+            yield pd.DataFrame(rows, columns=["digest", "start", "last"])
+
+    return places.select("digest", "starts", "shifts").mapInPandas(ranges, "digest binary, start long, last long")
 
 
 def without_long_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400) -> DataFrame:
@@ -197,37 +210,42 @@ def without_long_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     repetitive = stored(texts.select("digest", "text").join(by_text, "digest").dropDuplicates(["digest"]), "repetitive")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["hash", "stretch", "digest", "starts"]
         for batch in batches:
             rows, size = [], 0
-            for digest, text, found in zip(batch["digest"], batch["text"], batch["anchors"], strict=True):
+            for digest, text, hashes, firsts, lasts in zip(*(batch[c] for c in ("digest", "text", "hash", "first", "last")), strict=True):
                 data = text.encode()
-                for a in found:
-                    stretch = data[a["first"] : a["last"] + length]
-                    rows.append((a["hash"], stretch, digest, a["first"], a["hot"]))
+                own: dict[tuple, list] = {}  # periodic text repeats its stretches
+                for h, first, last in zip(hashes.tolist(), firsts.tolist(), lasts.tolist(), strict=True):
+                    own.setdefault((h, data[first : last + length]), []).append(first)
+                for (h, stretch), at in own.items():
+                    rows.append((h, stretch, digest, at))
                     size += len(stretch)
                     if size > 4 << 20:
-                        yield pd.DataFrame(rows, columns=["hash", "stretch", "digest", "start", "hot"])
+                        yield pd.DataFrame(rows, columns=columns)
                         rows, size = [], 0
-            yield pd.DataFrame(rows, columns=["hash", "stretch", "digest", "start", "hot"])
-
-    schema = "hash long, stretch binary, digest binary, start long, hot boolean"
-    common = stored(repetitive.select("digest", "text", F.filter("anchors", lambda a: a["hot"]).alias("anchors")).where(F.size("anchors") > 0), "hot-texts")
-    rest = repetitive.withColumn("anchors", F.filter("anchors", lambda a: ~a["hot"]))
-    grouped = rest.mapInPandas(cut, schema).select("hash", "stretch", "digest", "start").repartition("hash").sortWithinPartitions("hash")
-    marks = _index_marks(grouped, length)
-    if not common.isEmpty():
-        marks = marks.unionByName(_counted_marks(common.mapInPandas(cut, schema), length))
+            yield pd.DataFrame(rows, columns=columns)
+
+    def stretches(hot: bool) -> DataFrame:
+        chosen = repetitive.select("digest", "text", F.filter("anchors", lambda a: a["hot"] == hot).alias("anchors")).where(F.size("anchors") > 0)
+        apart = chosen.select("digest", "text", "anchors.hash", "anchors.first", "anchors.last")
+        return apart.mapInPandas(cut, "hash long, stretch binary, digest binary, starts array<long>")
+
+    marks = _index_marks(stretches(False).repartition("hash").sortWithinPartitions("hash"), length)
+    if not counts.where(F.col("places") > HOT_GROUP).isEmpty():
+        marks = marks.unionByName(_counted_marks(stretches(True), length))
     by_digest = marks.groupBy("digest").agg(F.collect_list(F.struct("start", "last")).alias("marks"))
+    by_digest = by_digest.select("digest", F.col("marks.start").alias("starts"), F.col("marks.last").alias("lasts"))
     partly = by_digest.join(several.select("digest"), "digest", "left_anti")
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for digest, text, ranges in zip(batch["digest"], batch["text"], batch["marks"], strict=True):
+            for digest, text, starts, lasts in zip(*(batch[c] for c in ("digest", "text", "starts", "lasts")), strict=True):
                 data = np.frombuffer(text.encode(), np.uint8)
                 steps = np.zeros(len(data) + 1, np.int64)
-                np.add.at(steps, [r["start"] for r in ranges], 1)
-                np.add.at(steps, [r["last"] + length for r in ranges], -1)
+                np.add.at(steps, starts, 1)
+                np.add.at(steps, lasts + length, -1)
                 gone = np.cumsum(steps[:-1]) > 0
                 kept = data[~gone].tobytes()
                 out.append((digest, int(gone.sum()), len(_runs(gone)), hashlib.sha256(kept).hexdigest(), kept))

@@ -36,18 +36,26 @@ class RunIndex:
         for i in range(8):
             key = (key << np.uint64(8)) | padded[i : i + n]
         width = 8
+        order = np.argsort(key)
+        ordered = key[order]
+        starts = np.r_[True, ordered[1:] != ordered[:-1]]
+        rank = np.empty(n, np.int32)  # a suffix's rank is the row at which its group of equal starts begins
+        rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
+        width = 8
         while True:
-            order = np.argsort(key)
-            ordered = key[order]
-            steps = np.r_[np.int64(0), np.cumsum(ordered[1:] != ordered[:-1])]
-            rank = np.empty(n, np.int32)
-            rank[order] = steps
             self.levels.append((width, rank))
-            if width >= self.length or steps[-1] == n - 1:
+            tied = np.flatnonzero(~(starts & np.r_[starts[1:], True]))
+            if width >= self.length or not len(tied):
                 break
-            after = np.full(n, -1, np.int64)
-            after[: n - width] = rank[width:] if width < n else []
-            key = rank.astype(np.int64) * (n + 1) + (after + 1)
+            places = order[tied]
+            after = np.where(places + width < n, rank[np.minimum(places + width, n - 1)], -1)
+            key = rank[places].astype(np.int64) * (n + 1) + after + 1
+            within = np.argsort(key)
+            key, places = key[within], places[within]
+            order[tied] = places
+            starts[tied] = fresh = np.r_[True, key[1:] != key[:-1]]
+            rank = rank.copy()
+            rank[places] = np.maximum.accumulate(np.where(fresh, tied, 0))
             width *= 2
         self.suffixes = order
         self.row = np.empty(n, np.int64)
@@ -78,6 +86,6 @@ class RunIndex:
 
     def match_lengths(self) -> np.ndarray:
         """For every place the length of its longest match that starts elsewhere, right below ``length`` and at least it otherwise."""
-        at = np.arange(len(self.text))
-        following = np.searchsorted(self.samples, at)
-        return self.sampled[following] + (self.samples[following] - at)
+        between = np.diff(self.samples, prepend=-1)
+        reach = np.repeat(self.samples + self.sampled, between)
+        return reach - np.arange(len(self.text))
