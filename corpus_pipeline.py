@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from logweir.llm import line_chunks, quality_rules
-from logweir.llm.common import WORD, stored
+from logweir.llm import decontamination, line_chunks, near_duplicates, packing, quality_rules
+from logweir.llm.common import WORD, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -35,9 +36,28 @@ def _after(column: str) -> Column:
     return F.col(f"`{column}`")
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    return near_duplicates.without_near_duplicates(docs, size=5, percent=80)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item (0.8 of its five-word shingles)."""
+    return decontamination.without_items(docs, table(spark, sf_dir, "benchmark"), size=5, percent=80)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces in sequences of 2048 tokens."""
+    pieces = packing.token_pieces(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), 2048, 0)
+    return packing.pack(pieces, 2048)
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality", quality),
     ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("pack", packed),
 ]
 
 ORACLE_SQL = None

@@ -24,16 +24,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_fields(docs: DataFrame, **fields: Column) -> DataFrame:
-    """Only the named columns, so that other columns of ``docs`` can clash with nothing."""
-    return docs.select(*[c.alias(n) for n, c in fields.items()])
-
-
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def document_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that stand for an id together with a text."""
+    return F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text, F.lit(""))).cast("binary")))
+
+
+#: Keys up to which a set of them is sent to all tasks.
+SMALL_KEYS = 500_000
+
+
+def without_keys(docs: DataFrame, keys: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` without the documents whose key is in ``keys`` (one column ``key``)."""
+    gone = keys.select(F.col("key").alias("_gone")).distinct()
+    few = gone.count() <= SMALL_KEYS
+    here = document_key(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`"))
+    return docs.join(F.broadcast(gone) if few else gone, here == F.col("_gone"), "left_anti")
+
+
 # Hashes of words and word shingles, for use inside tasks.
 
 _words: dict[bytes, int] = {}

@@ -20,9 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from logweir.llm.common import shingle_set, stored
+from logweir.llm.common import document_key, shingle_set, stored, without_keys
 
 RETAINED = 64
 SLOTS = 1 << 22
@@ -30,10 +30,6 @@ SLOTS = 1 << 22
 SMALL_ROWS = 200_000
 
 
-def document_key(doc_id: Column, text: Column) -> Column:
-    return F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text, F.lit(""))).cast("binary")))
-
-
 def item_sketches(items: DataFrame, size: int, retained: int = RETAINED) -> DataFrame:
     """item_id, item (a hash of the set), n, partition, shingles (packed) and kept (those below the partition's bound)."""
 
@@ -119,8 +115,5 @@ def contained_items(
 
 def without_items(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
     """``docs`` without the documents that contain an item."""
-    doc_id, text = settings.get("doc_id", "doc_id"), settings.get("text", "text")
-    bad = stored(contained_items(docs, items, **settings).select(F.col("key").alias("_bad")).distinct(), "contaminated")
-    few = bad.count() <= SMALL_ROWS
-    here = document_key(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`"))
-    return docs.join(F.broadcast(bad) if few else bad, here == F.col("_bad"), "left_anti")
+    bad = stored(contained_items(docs, items, **settings).select("key").distinct(), "contaminated")
+    return without_keys(docs, bad, settings.get("doc_id", "doc_id"), settings.get("text", "text"))

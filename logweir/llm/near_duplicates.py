@@ -30,7 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logweir.llm.common import shingle_set, stored
+from logweir.llm.common import document_key, shingle_set, stored, without_keys
 from logweir.llm.components import components
 
 K = 48
@@ -40,11 +40,11 @@ ROUND_PAIRS = 1 << 20
 #: Ids up to which a set of wanted documents is sent to all tasks.
 SMALL_IDS = 500_000
 
-SKETCH = "doc_id long, n_shingles long, cls binary, sketch binary"
+SKETCH = "key binary, doc_id long, n_shingles long, cls binary, sketch binary"
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """Set size, a 128-bit hash of the set and its smallest hashes, for rows ``doc_id, text``."""
+    """Set size, a 128-bit hash of the set and its smallest hashes, for rows ``key, doc_id, text``."""
 
     def one(text: str | None) -> tuple:
         s = shingle_set(text, size)
@@ -53,8 +53,8 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     def batches_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = pd.DataFrame([one(t) for t in batch["text"]], columns=["n_shingles", "cls", "sketch"])
-            out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
-            out["doc_id"] = out["doc_id"].astype("Int64")
+            out["key"] = batch["key"].to_numpy()
+            out["doc_id"] = batch["doc_id"].astype("Int64").array
             yield out
 
     return docs.mapInPandas(batches_of, SKETCH)
@@ -214,13 +214,23 @@ def _long_lists(lists: DataFrame, links: DataFrame, verifier: _Verifier, sets: D
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
-    named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    """key, doc_id, n_shingles, component_id and first_key for every row of ``docs``.
+
+    ``key`` stands for id and text; ``first_key`` is the key of the component's document with the smallest id.
+    """
+    name, body = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")
+    named = docs.select(document_key(name, body).alias("key"), name.alias("doc_id"), body.alias("text"))
     facts = stored(sketches(named, size), "near-sketches")
     grouped = (
         facts.where("n_shingles > 0")
         .groupBy("cls")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies"))
+        .agg(
+            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("best"),
+            F.first("n_shingles").alias("n"),
+            F.first("sketch").alias("sketch"),
+            F.count(F.lit(1)).alias("copies"),
+        )
+        .withColumn("doc_id", F.col("best.doc_id"))
     )
     classes = stored(grouped.withColumn("vid", F.monotonically_increasing_id()), "near-classes")
     verifier = _Verifier(named, classes, size, percent)
@@ -243,6 +253,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             links = _long_lists(long, links, verifier, sets)
 
     labels = _label(classes.drop("sketch"), components(links))
-    ids = labels.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.sum("copies").alias("size")).where("size > 1")
-    by_class = labels.join(ids, "label").select("cls", "component_id")
-    return facts.join(by_class, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = labels.groupBy("label").agg(F.min("best").alias("first"), F.sum("copies").alias("size")).where("size > 1")
+    by_class = labels.join(ids, "label").select("cls", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first_key"))
+    return facts.join(by_class, "cls", "left").select(
+        "key",
+        "doc_id",
+        "n_shingles",
+        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("first_key", "key").alias("first_key"),
+    )
+
+
+def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """One document of every component: the one with the smallest id. Of rows equal in id and text one stays, unless they have no words."""
+    found = stored(near_duplicates(docs, doc_id, text, size, percent), "near-found")
+    kept = without_keys(docs, found.where("key <> first_key").select("key"), doc_id, text)
+    twice = stored(found.where("n_shingles > 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-rows")
+    if twice.isEmpty():
+        return kept
+    here = document_key(F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`"))
+    marked = kept.withColumn("_key", here).join(twice.select(F.col("key").alias("_key"), "n"), "_key", "left")
+    once, more = marked.where(F.col("n").isNull()), marked.where(F.col("n").isNotNull()).dropDuplicates(["_key"])
+    return once.unionByName(more).select(*[F.col(f"`{c}`") for c in docs.columns])

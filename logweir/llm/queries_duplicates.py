@@ -27,7 +27,7 @@ _SETS = r"""t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, '')
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
-    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 @register(

@@ -22,7 +22,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from logweir.llm.common import row_fields, stored
+from logweir.llm.common import stored
 
 ORDER_BITS = 60
 ATOMS = 1 << 16
@@ -109,12 +109,11 @@ def minimax_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, size, text_crc32, shard and slot (gapless from 0 in its shard) for every row of ``docs``."""
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     facts = stored(
-        row_fields(
-            docs,
-            doc_id=F.col(f"`{doc_id}`"),
-            size=(F.octet_length(whole) + OVERHEAD).cast("long"),
-            text_crc32=F.crc32(whole.cast("binary")),
-            ord=F.conv(F.substring(F.md5(whole.cast("binary")), 1, ORDER_BITS // 4), 16, 10).cast("long"),
+        docs.select(
+            F.col(f"`{doc_id}`").alias("doc_id"),
+            (F.octet_length(whole) + OVERHEAD).cast("long").alias("size"),
+            F.crc32(whole.cast("binary")).alias("text_crc32"),
+            F.conv(F.substring(F.md5(whole.cast("binary")), 1, ORDER_BITS // 4), 16, 10).cast("long").alias("ord"),
         ),
         "shard-facts",
     )
