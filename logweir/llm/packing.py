@@ -13,8 +13,11 @@ Null and empty texts have just the end token. Repeated rows are packed one by on
 from __future__ import annotations
 
 import bisect
+import functools
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,30 +32,54 @@ RANK_ROWS = 1 << 17
 PLAN_ROWS = 200_000
 
 _SPACES = re.compile(r"[ \t\n\r\x0b\x0c]+")
+#: Python splits at these as well, the tokenizer does not.
+_SEPARATORS = re.compile(r"[\x1c-\x1f]")
 
 
 class ChunkEncoder:
-    """Token ids of texts. The tokenizer splits at white space, so each white-space chunk is encoded once and remembered."""
+    """Token ids of texts, as little-endian unsigned 32-bit integers.
 
-    def __init__(self, path: str, held: int = 500_000):
+    The tokenizer splits at white space, so each white-space chunk is encoded once and remembered. It also parts letters
+    from the punctuation after them and lowers A-Z, so a new chunk that is a word with punctuation is put together from both.
+    """
+
+    def __init__(self, path: str, held: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.held = held
 
-    def learn(self, texts: list[str]) -> None:
+    @staticmethod
+    def _parts(chunk: str) -> tuple[str, ...]:
+        word = chunk.rstrip(".,;:!?")
+        if not word.isalpha():
+            return (chunk,)
+        return tuple(filter(None, (word.lower() if word.isascii() else word, chunk[len(word) :])))
+
+    def _learn(self, chunks: set[str]) -> None:
+        new = {c: self._parts(c) for c in chunks}
+        parts = list({p for ps in new.values() for p in ps if p not in self.known})
+        for at in range(0, len(parts), 4096):
+            some = parts[at : at + 4096]
+            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[p] = array("I", e.ids).tobytes()
+        for c, ps in new.items():
+            self.known[c] = b"".join([self.known[p] for p in ps])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.held:
             self.known.clear()
-        new = list({c for t in texts for c in _SPACES.split(t) if c not in self.known})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for c, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[c] = np.asarray(e.ids, "<u4").tobytes()
+        split = [_SPACES.split(t) if _SEPARATORS.search(t) else t.split() for t in texts]
+        self._learn(set().union(*split) - self.known.keys())
+        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.known.__getitem__, _SPACES.split(text)))
+
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> ChunkEncoder:
+    """One encoder per worker, which the worker's later tasks use again."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return ChunkEncoder(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0) -> DataFrame:
@@ -60,17 +87,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int
     end = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = ChunkEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
             rows = []
             for at in range(0, len(texts), 256):
-                encoder.learn(texts[at : at + 256])
-                for doc_id, text in zip(batch["doc_id"][at : at + 256], texts[at : at + 256], strict=True):
-                    ids = memoryview(encoder.encode(text) + end)
+                for doc_id, ids in zip(batch["doc_id"][at : at + 256], encoder.encode(texts[at : at + 256]), strict=True):
+                    ids = memoryview(ids + end)
                     for k, start in enumerate(range(0, len(ids), 4 * most)):
                         part = ids[start : start + 4 * most]
                         rows.append((doc_id, k, start // 4, len(part) // 4, zlib.crc32(part)))
