@@ -36,13 +36,13 @@ def keyed_log_masked_verdicts(spark, sf):
 
 @register("timed_log_masked_metrics")
 def timed_log_masked_metrics(spark, sf):
-    verdicts = flows.masked_event_verdicts(timed(spark, sf), 3, 0.5, 0.2, min_len=5)
+    verdicts = flows.masked_event_verdicts(timed(spark, sf), 3, 0.5, 0.2)
     return E.classification_metrics(verdicts, "pred", "label")
 
 
 @register("timed_log_next_event_sweep")
 def timed_log_next_event_sweep(spark, sf):
-    return flows.next_event_sweep(timed(spark, sf), 3, 3, min_len=5)
+    return flows.next_event_sweep(timed(spark, sf), 3, 3)
 
 
 @register("timed_log_pca_verdicts")

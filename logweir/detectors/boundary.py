@@ -36,19 +36,21 @@ def scale_gamma(vectors: DataFrame, width: int, vector: str = "features") -> flo
 
 
 def fit_one_class_svm(
-    vectors: DataFrame, nu: float = 0.5, gamma: float | str = "scale", dims: int = 256, steps: int = 15, seed: int = 7, vector: str = "features"
+    vectors: DataFrame, nu: float = 0.5, gamma: float | str = "scale", dims: int = 256, steps: int = 200, tolerance: float = 1e-3, seed: int = 7, vector: str = "features"
 ) -> Boundary:
     """Minimise ``|w|^2 / 2 - rho + mean(hinge(rho - w.z)) / nu``; rho is the nu-quantile of the scores.
 
     Equal vectors are counted once with a weight. Each step is one pass that sums the gradient and a
-    histogram of the scores; for fixed w the best rho is the nu-quantile, taken from the pass before.
+    histogram of the scores; for fixed w the best rho is the nu-quantile, taken from the pass before. Steps
+    end when the weights move by less than ``tolerance`` of their length.
     """
     width = width_of(vectors, vector)
     g = scale_gamma(vectors, width, vector) if gamma == "scale" else float(gamma)
     rng = np.random.default_rng(seed)
     model = Boundary(rng.normal(scale=np.sqrt(2 * g), size=(width, dims)), rng.uniform(0, 2 * np.pi, dims), np.zeros(dims), 0.0)
     counted = materialise(vectors.groupBy(F.col(vector).alias("features")).agg(F.count(F.lit(1)).cast("double").alias("weight")))
-    edges = np.linspace(-2, 2, 2_001)
+    # |w| is at most sqrt(2) / nu and |z| at most sqrt(2), so no score leaves the histogram.
+    edges = np.linspace(-2 / nu, 2 / nu, 8_001)
     n = float(counted.agg(F.sum("weight")).first()[0])
 
     def one_pass(m: Boundary) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +59,7 @@ def fit_one_class_svm(
         def part(x: np.ndarray, w: np.ndarray) -> np.ndarray:
             z = m.features(x)
             scores = z @ m.weights
-            return np.concatenate([(w * (scores < m.rho)) @ z, np.histogram(scores, edges, weights=w)[0]])[None, :]
+            return np.concatenate([(w * (scores < m.rho)) @ z, np.histogram(scores.clip(edges[0], edges[-1]), edges, weights=w)[0]])[None, :]
 
         row = sum_matrix(counted, part, ["features", "weight"], (1, dims + len(edges) - 1))[0]
         return row[:dims], row[dims:]
@@ -71,8 +73,10 @@ def fit_one_class_svm(
     model.rho = quantile_of(one_pass(model)[1])
     for step in range(steps):
         pull, histogram = one_pass(model)
-        moved = model.weights + (pull / (nu * n) - model.weights) * 2 / (step + 3)
-        model = Boundary(model.frequencies, model.phases, moved, quantile_of(histogram))
+        change = (pull / (nu * n) - model.weights) * 2 / (step + 3)
+        model = Boundary(model.frequencies, model.phases, model.weights + change, quantile_of(histogram))
+        if np.linalg.norm(change) <= tolerance * np.linalg.norm(model.weights):
+            break
     scored = with_boundary_score(vectors.select(vector), model, vector).select("score").persist()
     try:
         model.rho = exact_quantile(scored, "score", nu)

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from logweir.detectors.blocks import stack
-from logweir.operators.ordering import exact_quantile, hash_sample
+from logweir.operators.ordering import exact_quantile
+from logweir.session import materialise
 
 EULER = 0.5772156649015329
 NODES = "tree int, node int, feature int, cut double, low int, high int, depth double"
@@ -62,20 +63,22 @@ def fit_isolation_forest(
     key: str = "session_id",
     vector: str = "features",
 ) -> Forest:
-    """Each tree gets ``min(max_samples, n)`` rows without repetition.
+    """Each tree gets the ``min(max_samples, n)`` rows with the smallest hash of seed, tree and id.
 
-    Enough rows for all trees: one random sample is dealt out. Fewer rows: every tree draws its own.
+    Rows whose hash is too large for any tree are dropped where they are read; should that leave a tree short, the bound grows.
     """
     n = vectors.count()
     psi = min(max_samples, n)
-    ids = [key]
-    if n >= trees * psi:
-        sample = hash_sample(vectors.select(key, vector), ids, F.lit(trees * psi), seed, "_r")
-        dealt = sample.withColumn("tree", (F.col("_r") % trees).cast("int"))
-    else:
-        spread = vectors.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        draw = Window.partitionBy("tree").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("tree").cast("string"), F.col(key))))
-        dealt = spread.withColumn("_r", F.row_number().over(draw)).where(F.col("_r") <= psi)
+    draw = F.xxhash64(F.lit(seed), "tree", key)
+    spread = vectors.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("_h", draw)
+    bound = min(1.0, (psi + 8 * np.sqrt(psi)) / max(n, 1))
+    while True:
+        near = materialise(spread.where(F.col("_h") <= int(bound * (2**64 - 1)) - 2**63))
+        if bound == 1.0 or near.groupBy("tree").count().where(F.col("count") >= psi).count() == trees:
+            break
+        bound = min(1.0, 2 * bound)
+    order = Window.partitionBy("tree").orderBy("_h", key)
+    dealt = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= psi)
     limit = int(np.ceil(np.log2(max(psi, 2))))
 
     def grow(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -6,6 +6,7 @@ be stored between tasks.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Sequence
 
 import numpy as np
@@ -96,100 +97,48 @@ class FixedDepthFold:
 class SubsequenceFold:
     """Clusters by common subsequence.
 
-    A message joins, in this order: a cluster reached by walking its constants through an index of
-    known templates; the first cluster whose constants it contains; the cluster with the longest
-    common subsequence if that is at least ``tau`` of the message, whose template then shrinks.
+    A message joins the template that has the longest common subsequence with it (then the shorter, then the
+    older template), if that covers ``tau`` of the message; the template then shrinks to what both have in common. Only templates that
+    share at least the part ``share`` of its tokens are compared; each token knows the templates that hold it.
     """
 
     def __init__(self, tau: float, state: dict | None = None, share: float = 0.5):
         self.tau, self.share = tau, share
-        state = state or {"templates": [], "index": {}}
-        self.rows, self.index = state["templates"], state["index"]
-        self.constants = [self._constants(t) for t in self.rows]
-        self.sets = [set(t) for t in self.rows]
+        self.rows: list[list[str]] = []
+        self.holders: dict[str, set[int]] = defaultdict(set)
+        for template in (state or {"templates": []})["templates"]:
+            self._set(len(self.rows), template)
 
     def state(self) -> dict:
-        return {"templates": self.rows, "index": self.index}
-
-    @staticmethod
-    def _constants(tokens: Sequence[str]) -> list[str]:
-        return [t for t in tokens if t != WILDCARD]
-
-    def _by_index(self, constants: list[str]) -> int | None:
-        """Each index entry is ``[uses, cluster or None, next entries]``."""
-        entries, at = self.index, 0
-        while at < len(constants):
-            entry = entries.get(constants[at])
-            at += 1
-            if entry is None:
-                continue
-            if entry[1] is None:
-                entries = entry[2]
-            elif len(self.constants[entry[1]]) >= self.tau * len(constants):
-                return entry[1]
-        return None
-
-    def _by_containment(self, constants: list[str]) -> int | None:
-        have = set(constants)
-        for i, template in enumerate(self.rows):
-            if len(template) >= self.share * len(constants) and have.issuperset(self.constants[i]):
-                return i
-        return None
-
-    def _by_subsequence(self, tokens: Sequence[str]) -> int | None:
-        have, top = set(tokens), None
-        for i, template in enumerate(self.rows):
-            if len(have & self.sets[i]) >= self.share * len(tokens):
-                entry = (lcs_length(tokens, template), -len(template), -i)
-                top = entry if top is None or entry > top else top
-        return -top[2] if top and top[0] >= self.tau * len(tokens) else None
-
-    def _enter(self, cluster: int) -> None:
-        entries, entry = self.index, None
-        for token in self.constants[cluster]:
-            entry = entries.setdefault(token, [0, None, {}])
-            entry[0] += 1
-            entries = entry[2]
-        if entry is not None and entry[1] is None:
-            entry[1] = cluster
-
-    def _leave(self, cluster: int) -> None:
-        entries = self.index
-        for token in self.constants[cluster]:
-            entry = entries.get(token)
-            if entry is None:
-                continue
-            if entry[0] == 1:
-                del entries[token]
-                return
-            entry[0] -= 1
-            entries = entry[2]
-
-    def _put(self, cluster: int, template: list[str]) -> None:
+        return {"templates": self.rows}
+
+    def _set(self, cluster: int, template: list[str]) -> None:
+        if cluster == len(self.rows):
+            self.rows.append([])
+        for token in set(self.rows[cluster]) - set(template):
+            self.holders[token].discard(cluster)
+        for token in set(template) - {WILDCARD}:
+            self.holders[token].add(cluster)
         self.rows[cluster] = template
-        self.constants[cluster] = self._constants(template)
-        self.sets[cluster] = set(template)
-        self._enter(cluster)
+
+    def _best(self, tokens: list[str]) -> tuple[int, int, int] | None:
+        """(length in common, minus the template's length, minus its number) of the best template."""
+        shared = Counter(c for t in set(tokens) for c in self.holders.get(t, ()))
+        near = [c for c, n in shared.items() if n >= self.share * len(tokens)]
+        constants = [t for t in tokens if t != WILDCARD]
+        return max(((lcs_length(constants, self.rows[c]), -len(self.rows[c]), -c) for c in near), default=None)
 
     def add(self, tokens: Sequence[str]) -> int:
         tokens = list(tokens)
-        constants = self._constants(tokens)
-        cluster = self._by_index(constants)
-        if cluster is None:
-            cluster = self._by_containment(constants)
-        if cluster is not None:
-            return cluster
-        cluster = self._by_subsequence(tokens)
-        if cluster is None:
-            self.rows.append(tokens)
-            self.constants.append(constants)
-            self.sets.append(set(tokens))
-            self._enter(len(self.rows) - 1)
+        best = self._best(tokens)
+        if best is None or best[0] < self.tau * len(tokens):
+            self._set(len(self.rows), tokens)
             return len(self.rows) - 1
-        merged = lcs_template(lcs_tokens(tokens, self.rows[cluster]), self.rows[cluster])
-        if merged != self.rows[cluster]:
-            self._leave(cluster)
-            self._put(cluster, merged)
+        cluster = -best[2]
+        template = self.rows[cluster]
+        if best[0] < sum(t != WILDCARD for t in template):
+            constants = [t for t in tokens if t != WILDCARD]
+            self._set(cluster, lcs_template(lcs_tokens(constants, template), template))
         return cluster
 
     def templates(self) -> dict[int, list[str]]:

@@ -34,9 +34,9 @@ def template_occurrences(lines: DataFrame, template: str = "template", line: str
 
 
 def event_rank(occurrences: DataFrame, event: str = "event_id", small: int = BROADCAST_ROWS) -> DataFrame:
-    """``event -> 1..n`` by occurrences; equal counts by event id."""
+    """``event -> 1..n`` by occurrences; equal counts by event id. Texts that share an id count together."""
     return ordinal(
-        occurrences.select(event, "occurrences"), [F.desc("occurrences"), F.asc(event)], "event_rank", start=1, small=small
+        occurrences.groupBy(event).agg(F.sum("occurrences").alias("occurrences")), [F.desc("occurrences"), F.asc(event)], "event_rank", start=1, small=small
     )
 
 

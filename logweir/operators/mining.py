@@ -15,12 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from logweir.functions.folds import FixedDepthFold, SubsequenceFold
-from logweir.functions.text import collapse_wildcards, template_id
+from logweir.functions.text import WILDCARD, collapse_wildcards, template_id
 from logweir.operators.dictionaries import template_occurrences
 from logweir.operators.ordering import dense_position, lookup
 from logweir.session import materialise
 
 BLOCK_MESSAGES = 100_000
+KEY_TOKENS = 3
+PARTS = 64
 FOLDED = "grp bigint, msg_id bigint, cluster int, template array<string>, state binary"
 
 
@@ -39,11 +41,11 @@ def carry_fold(messages: DataFrame, make: Callable, block_messages: int = BLOCK_
         joined = [fold.add(t) for t in pdf["tokens"]]
         found = fold.templates()
         parts = [
-            pd.DataFrame({"grp": grp, "msg_id": pdf["msg_id"].to_numpy(), "cluster": joined}),
-            pd.DataFrame({"grp": grp, "cluster": list(found), "template": list(found.values())}),
+            pd.DataFrame({"grp": grp, "msg_id": pdf["msg_id"].astype("Int64").array, "cluster": joined}),
+            pd.DataFrame({"grp": grp, "msg_id": pd.array([None] * len(found), "Int64"), "cluster": list(found), "template": list(found.values())}),
         ]
         if rounds > 1:
-            parts.append(pd.DataFrame({"grp": [grp], "state": [pickle.dumps(fold.state())]}))
+            parts.append(pd.DataFrame({"grp": [grp], "msg_id": pd.array([None], "Int64"), "state": [pickle.dumps(fold.state())]}))
         out = pd.concat(parts, ignore_index=True).reindex(columns=["grp", "msg_id", "cluster", "template", "state"])
         return out.astype({"msg_id": "Int64", "cluster": "Int64"}).astype(object).where(lambda d: d.notna(), None)
 
@@ -117,32 +119,41 @@ def drain_templates(
     ).drop("_n")
 
 
+def _common_tokens(messages: DataFrame) -> DataFrame:
+    """``msg_id, key``: the message's ``KEY_TOKENS`` tokens that most messages hold."""
+    tokens = messages.select("msg_id", F.explode(F.array_distinct(F.filter("tokens", lambda t: t != WILDCARD))).alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = tokens.join(counts, "token").groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("df")).alias("df"), "token"))).alias("t"))
+    top = F.array_sort(F.transform(F.slice("t", 1, KEY_TOKENS), lambda t: t["token"]))
+    return ranked.select("msg_id", top.alias("key"))
+
+
+def _fold_groups(messages: DataFrame, tau: float, block_messages: int) -> DataFrame:
+    """``grp, msg_id, template`` for rows ``grp, msg_id, tokens``."""
+    members, templates = carry_fold(messages, lambda state: SubsequenceFold(tau, state), block_messages)
+    return members.join(templates, ["grp", "cluster"]).select("grp", "msg_id", "template")
+
+
 def spell_templates(lines: DataFrame, tau: float, line: str = "line_id", block_messages: int = BLOCK_MESSAGES) -> DataFrame:
     """Add ``cluster`` and ``cluster_template`` to lines with a ``tokens`` column, by common subsequence.
 
-    Up to ``block_messages`` distinct messages are folded as one sequence. Beyond that, consecutive
-    blocks are folded side by side, and the templates they find are folded as messages in turn, so
-    that like templates of different blocks meet.
+    One definition for every size, in which only contents count: distinct messages are grouped by their most
+    common tokens and ``PARTS`` parts of their hash, and each group is folded in the order of the hashes. The templates found are
+    folded as messages in turn, first per group of common tokens, then all together. ``block_messages`` only bounds what a task takes
+    at once: the blocks of a group carry its state on.
     """
-    messages = materialise(_distinct(lines, line, exact=False))
-    placed = dense_position(messages, ["msg_id"], (), "_at")
-    blocks = placed.select(F.floor(F.col("_at") / block_messages).alias("grp"), "msg_id", "tokens")
-    members, templates = carry_fold(blocks, lambda state: SubsequenceFold(tau, state), block_messages)
-    if messages.count() > block_messages:
-        firsts = members.groupBy("grp", "cluster").agg(F.min("msg_id").alias("_first"))
-        local = materialise(templates.join(firsts, ["grp", "cluster"]))
-        again = local.select(F.lit(0).cast("bigint").alias("grp"), F.col("_first").alias("msg_id"), F.col("template").alias("tokens"))
-        merged, final = carry_fold(again, lambda state: SubsequenceFold(tau, state), block_messages)
-        joined = lookup(merged, final, ["grp", "cluster"], "inner").select(F.col("msg_id").alias("_first"), F.col("cluster").alias("_final"), "template")
-        named = lookup(lookup(members, local.drop("template"), ["grp", "cluster"], "inner"), joined, ["_first"], "inner").select(
-            "msg_id", F.col("_final").cast("string").alias("cluster"), F.col("template").alias("cluster_template")
-        )
-    else:
-        named = lookup(members, templates, ["grp", "cluster"], "inner").select(
-            "msg_id", F.col("cluster").cast("string").alias("cluster"), F.col("template").alias("cluster_template")
-        )
-    named = materialise(messages.join(named, "msg_id").drop("msg_id"))
-    return lookup(lines, named, ["tokens"])
+    named = lines.select(F.xxhash64("tokens").alias("msg_id"), "tokens").dropDuplicates(["msg_id"])
+    messages = materialise(named)
+    keyed = messages.join(_common_tokens(messages), "msg_id", "left").withColumn("key", F.xxhash64("key"))
+    parts = keyed.withColumn("grp", F.xxhash64("key", F.pmod("msg_id", F.lit(PARTS))))
+    found = materialise(_fold_groups(parts.select("grp", "msg_id", "tokens"), tau, block_messages).join(keyed.select("msg_id", "key"), "msg_id"))
+    for group in (F.col("key"), F.lit(0).cast("bigint")):
+        now = found.withColumn("grp", group).withColumn("template_id", F.xxhash64("template"))
+        again = now.select("grp", F.col("template_id").alias("msg_id"), F.col("template").alias("tokens")).dropDuplicates(["grp", "msg_id"])
+        merged = _fold_groups(materialise(again), tau, block_messages).select("grp", F.col("msg_id").alias("template_id"), F.col("template").alias("merged"))
+        found = materialise(now.join(merged, ["grp", "template_id"]).select("msg_id", "key", F.col("merged").alias("template")))
+    result = found.select("msg_id", F.hex(F.xxhash64("template")).alias("cluster"), F.col("template").alias("cluster_template"))
+    return lookup(lines.withColumn("msg_id", F.xxhash64("tokens")), result, ["msg_id"]).drop("msg_id")
 
 
 def mining_result(mined: DataFrame, line: str = "line_id", collapse: bool = True, across_spaces: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -221,7 +221,13 @@ def lookup(
     rows copied to every salt so that a hot key in the facts spreads over several tasks.
     """
     on = list(on)
-    n = table.count() if rows is None else rows
+    if rows is None:
+        table = materialise(table)
+        n, most = table.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        if most > 1:
+            raise ValueError(f"the dictionary has several rows for one value of {on}")
+    else:
+        n = rows
     if n <= small:
         return facts.join(F.broadcast(table), on, how)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(SALTS)).cast("int"))

@@ -237,8 +237,15 @@ def next_event_features(encoded: DataFrame, width: int, idx: str = "idx", param:
     return out.drop(*ahead)
 
 
-def session_features(encoded: DataFrame, length: int = 50, classes: int = 29, idx: str = "idx") -> DataFrame:
-    """Fixed-length ids and dense count vector per session; only the first ``length`` events travel."""
+def session_features(encoded: DataFrame, length: int = 50, classes: int | None = None, idx: str = "idx") -> DataFrame:
+    """Fixed-length ids and dense count vector per session; only the first ``length`` events travel.
+
+    The vector counts ids 0 to ``classes - 1``; by default there are as many as the data need. An id beyond them is an error.
+    """
+    if classes is None:
+        classes = (encoded.agg(F.max(idx)).first()[0] or 0) + 1
+    beyond = F.raise_error(F.concat(F.lit(f"event id beyond the {classes} classes: "), F.col(idx).cast("string")))
+    encoded = encoded.withColumn(idx, F.when(F.col(idx) < classes, F.col(idx)).otherwise(beyond.cast("bigint")))
     head = encoded.where(F.col("pos") < length)
     return (
         head.groupBy("session_id")

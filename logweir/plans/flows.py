@@ -77,7 +77,7 @@ class LogPreset:
 HDFS = LogPreset(T.HDFS_FORMAT, T.HDFS_MASKS, 5, 0.5, train=0.8, seed=20)
 BGL = LogPreset(T.BGL_FORMAT, T.BGL_MASKS, 3, 0.3, time_fields=("Time",), time_pattern="yyyy-MM-dd-HH.mm.ss.SSSSSS", window=300, step=60, train=0.6, merge_wildcards=True)
 THUNDERBIRD = LogPreset(
-    T.THUNDERBIRD_FORMAT, T.THUNDERBIRD_MASKS, 3, 0.3, 1000, ("Date", "Time"), "yyyy.MM.dd HH:mm:ss", 60, 30, train=6000, prefix_lines=20_000_000
+    T.THUNDERBIRD_FORMAT, T.THUNDERBIRD_MASKS, 3, 0.3, 1000, ("Date", "Time"), "yyyy.MM.dd HH:mm:ss", 60, 30, train=6000
 )
 
 
@@ -134,21 +134,24 @@ def test_part(sessions: DataFrame) -> DataFrame:
 test_part.__test__ = False
 
 
-def masked_event_verdicts(sessions: DataFrame, g: int, mask_ratio: float, threshold: float, seed: int = 1, seq_len: int | None = 512, min_len: int = 10) -> DataFrame:
-    """Mask, predict from both sides, and judge each test session by its share of unexpected events."""
+def masked_event_verdicts(sessions: DataFrame, g: int, mask_ratio: float, threshold: float, seed: int = 1, seq_len: int | None = None, min_len: int = 0) -> DataFrame:
+    """Mask, predict from both sides, and judge each test session by its share of unexpected events.
 
-    def fitted_part(part: DataFrame) -> DataFrame:
-        cut = chunk_sequence(part, adaptive=True, seq_len=seq_len, min_len=min_len).drop("chunk", "chunk_pos")
+    ``min_len`` keeps short sessions out of the fit; every test session is judged.
+    """
+
+    def cut_part(part: DataFrame, least: int) -> DataFrame:
+        cut = chunk_sequence(part, adaptive=True, seq_len=seq_len, min_len=least).drop("chunk", "chunk_pos")
         return cut if seq_len is None else cut.withColumn("n_events", F.least("n_events", F.lit(seq_len)))
 
-    results = masked_event_detector(fitted_part(train_part(sessions)), fitted_part(test_part(sessions)), g, mask_ratio, seed)
+    results = masked_event_detector(cut_part(train_part(sessions), min_len), cut_part(test_part(sessions), 0), g, mask_ratio, seed)
     return session_verdict(results, threshold, "undetected_tokens", "masked_tokens")
 
 
-def next_event_sweep(sessions: DataFrame, width: int = 10, g: int = 9, min_len: int = 10) -> DataFrame:
-    """Next-event detector with thresholds 0..9 on its miss counts."""
-    kept = sessions.where(F.col("n_events") >= min_len)
-    return threshold_sweep(next_event_detector(train_part(kept), test_part(kept), width, g), undetected="logkey_anomaly")
+def next_event_sweep(sessions: DataFrame, width: int = 10, g: int = 9, min_len: int = 0) -> DataFrame:
+    """Next-event detector with thresholds 0..9 on its miss counts; ``min_len`` keeps short sessions out of the fit only."""
+    train = train_part(sessions).where(F.col("n_events") >= min_len)
+    return threshold_sweep(next_event_detector(train, test_part(sessions), width, g), undetected="logkey_anomaly")
 
 
 def count_vectors(sessions: DataFrame, weighting: str | None = None, normalization: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -47,8 +49,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to reliable storage and cut its lineage; later readers see one fixed copy."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared folder, as Parquet, and cut its lineage; later readers see one fixed copy and read the columns they need."""
+    path = fresh_path(df.sparkSession, "stored")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of a cluster on which it is not installed."""
+    folder = os.path.dirname(os.path.abspath(__file__))
+    packed = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="logweir-"), "logweir"), "zip", os.path.dirname(folder), os.path.basename(folder))
+    spark.sparkContext.addPyFile(packed)

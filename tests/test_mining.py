@@ -136,13 +136,24 @@ def test_lcs_helpers():
     assert lcs_template([], list("abc")) == []
 
 
-def test_subsequence_mining_is_one_sequential_fold(spark):
+def same_sets(rows):
+    """Messages that share a template, and the template."""
+    sets = {}
+    for r in rows:
+        sets.setdefault(r.cluster, (tuple(r.cluster_template), set()))[1].add(tuple(r.tokens))
+    return {(t, frozenset(m)) for t, m in sets.values()}
+
+
+def test_subsequence_mining_depends_on_contents_only(spark):
     lines = [t for t in lines_of(3, 80) if t]
-    fold = SubsequenceFold(0.5)
-    cluster = {t: fold.add(t) for t in dict.fromkeys(map(tuple, lines))}
-    got = MI.spell_templates(frame(spark, lines), 0.5).collect()
-    assert len(got) == len(lines)
-    assert all(r.cluster_template == fold.templates()[cluster[tuple(r.tokens)]] for r in got)
+    found = []
+    for seed, block, parts in ((1, 10**6, 1), (2, 7, 4), (3, 3, 9)):
+        shuffled = lines * 2
+        random.Random(seed).shuffle(shuffled)
+        got = MI.spell_templates(frame(spark, shuffled).repartition(parts), 0.5, block_messages=block).collect()
+        assert len(got) == len(shuffled)
+        found.append(same_sets(got))
+    assert found[0] == found[1] == found[2]
 
 
 def test_subsequence_steps():
