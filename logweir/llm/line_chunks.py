@@ -74,7 +74,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
     """Rows ``doc`` (the row of ``docs`` as a struct), ``kept`` (its text without repeated chunks), ``n_lines``, ``removed_lines``, ``removed_chunks``."""
     body, name = F.col(f"`{text}`"), F.col(f"`{doc_id}`")
     key = F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(name.cast("string"), F.lit("-")), F.coalesce(body, F.lit(""))).cast("binary")))
-    rows = docs.select(key.alias("key"), F.struct("*").alias("doc"), body.alias("text"))
+    rows = docs.select(key.alias("key"), F.struct("*").alias("doc"))
+    inside = F.col("doc").getField(text)
     found = stored(
         docs.select(key.alias("key"), name.alias("id"), F.inline(chunks(body, modulus))).distinct(),
         "line-chunks",
@@ -84,14 +85,14 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mod
     is_first = (F.col("key") == F.col("first.key")) & (F.col("start") == F.col("first.start"))
     marks = found.join(repeated, "hash").select("key", "start", "lines", "hash", is_first.alias("first"))
     marked = stored(_marked(rows, marks), "line-marks")
-    different = stored(_different(marked), "line-differences")
+    different = stored(_different(marked, inside), "line-differences")
     if not different.isEmpty():
         marked = _marked(rows, marks.join(different, "hash", "left_anti"))
     gone = F.sort_array(F.filter(F.coalesce("marks", F.array().cast("array<struct<start:int,lines:int,hash:binary,first:boolean>>")), lambda m: ~m["first"]))
     return marked.withColumn("gone", gone).select(
         "doc",
-        F.when(F.size("gone") == 0, F.col("text")).otherwise(_without(F.col("text"), F.col("gone"))).alias("kept"),
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.size("gone") == 0, inside).otherwise(_without(inside, F.col("gone"))).alias("kept"),
+        F.coalesce(F.size(F.split(inside, "\n")), F.lit(0)).cast("long").alias("n_lines"),
         F.aggregate("gone", F.lit(0), lambda a, m: a + m["lines"]).cast("long").alias("removed_lines"),
         F.size("gone").cast("long").alias("removed_chunks"),
     )
@@ -102,11 +103,11 @@ def _marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
     return rows.join(by_doc, "key", "left")
 
 
-def _different(marked: DataFrame) -> DataFrame:
+def _different(marked: DataFrame, text: Column) -> DataFrame:
     """Hashes that stand for more than one content."""
     pieces = marked.select(
         F.inline(
-            let(F.split("text", "\n"), lambda ls: F.transform("marks", lambda m: F.struct(m["hash"].alias("hash"), chunk_text(ls, m["start"], m["lines"]).alias("chunk"))))
+            let(F.split(text, "\n"), lambda ls: F.transform("marks", lambda m: F.struct(m["hash"].alias("hash"), chunk_text(ls, m["start"], m["lines"]).alias("chunk"))))
         )
     )
     return pieces.distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("hash")
