@@ -98,7 +98,7 @@ def _write_archive(folder: str, records: list[bytes]) -> str:
     name = f"{uuid.uuid4().hex}.warc.zst"
     trained = _dictionary(records)
     packer = zstandard.ZstdCompressor(level=3, dict_data=trained, write_checksum=True)
-    with store.open_output_stream(f"{root}/{name}") as out:
+    with store.open_output_stream(f"{root}/{name}", compression=None) as out:
         if trained is not None:
             raw = trained.as_bytes()
             out.write(DICTIONARY_FRAME.to_bytes(4, "little") + len(raw).to_bytes(4, "little") + raw)
@@ -170,7 +170,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True, files
         store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for archive in batch["archive"]:
-                with store.open_input_stream(f"{root}/{archive}") as data:
+                with store.open_input_stream(f"{root}/{archive}", compression=None) as data:
                     rows, held = [], 0
                     for record in _frames(data):
                         row = parse_record(record)
