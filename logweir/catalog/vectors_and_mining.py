@@ -53,12 +53,11 @@ HAT = """WITH c AS (SELECT i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM (SELEC
     r AS (SELECT quantile_cont(distance, 0.75) AS radius FROM d WHERE label < 8)"""
 
 
-@register("hypersphere_fit", "", HAT + " SELECT round(radius, 6) AS radius, round(c[1], 6) AS first_center, round(c[64], 6) AS last_center FROM r, cl")
+@register("hypersphere_fit", "", HAT + " SELECT i - 1 AS dim, round(radius, 6) AS radius, round(m, 6) AS center FROM r, c")
 def hypersphere_fit(spark, sf):
     model = L.fit_hypersphere(V.vectors(spark, sf).where(F.col("label") < 8))
-    return spark.range(1).select(
-        F.round(F.lit(model.radius), 6).alias("radius"), F.round(F.lit(model.center[0]), 6).alias("first_center"), F.round(F.lit(model.center[-1]), 6).alias("last_center")
-    )
+    rows = spark.createDataFrame([(i, model.radius, c) for i, c in enumerate(model.center)], "dim bigint, radius double, center double")
+    return rows.select("dim", r6("radius").alias("radius"), r6("center").alias("center"))
 
 
 @register("hypersphere_score", "", HAT + " SELECT vec_id, round(distance, 6) AS distance, CAST(distance > radius AS INTEGER) AS pred FROM d, r")
@@ -95,9 +94,9 @@ def log_clustering_score(spark, sf):
     n AS (SELECT *, CASE event_type WHEN 'click' THEN 3 WHEN 'view' THEN 2 WHEN 'purchase' THEN 1 ELSE 0 END AS slots FROM lines_),
     ph AS (SELECT line_id, base + s AS tv, user_id + s AS pv, slots FROM n, (SELECT unnest([0, 1, 2]) AS s) WHERE s < slots),
     dims AS (SELECT line_id, i, avg((CAST(t.embedding[i] AS DOUBLE) + CAST(p.embedding[i] AS DOUBLE)) / 2) AS x FROM ph JOIN embeddings t ON t.vec_id = tv JOIN embeddings p ON p.vec_id = pv,
-      (SELECT unnest(generate_series(1, 16)) AS i) WHERE i <= 16 GROUP BY line_id, i)
-    SELECT n.line_id, slots AS placeholders, round(a, 6) AS first_bin, round(b, 6) AS last_bin FROM n LEFT JOIN
-      (SELECT line_id, avg(x) FILTER (i <= 2) AS a, avg(x) FILTER (i >= 15) AS b FROM dims GROUP BY line_id) USING (line_id)""")
+      (SELECT unnest(generate_series(1, 64)) AS i) GROUP BY line_id, i)
+    SELECT n.line_id, slots AS placeholders, b.bin, round(b.x, 6) AS context FROM n LEFT JOIN
+      (SELECT line_id, (i - 1) // 8 AS bin, avg(x) AS x FROM dims GROUP BY ALL) b USING (line_id)""")
 def line_context_vector(spark, sf):
     e = V.table(spark, sf, "events")
     slots = F.when(F.col("event_type") == "click", 3).when(F.col("event_type") == "view", 2).when(F.col("event_type") == "purchase", 1).otherwise(0)
@@ -106,11 +105,11 @@ def line_context_vector(spark, sf):
         F.col("event_id").alias("line_id"), base.cast("bigint").alias("event_id"), "user_id",
         F.explode_outer(F.when(slots > 0, F.sequence(F.lit(0), slots - 1))).alias("slot"),
     ).withColumn("param", F.col("user_id") + F.col("slot"))
-    v = V.vectors(spark, sf).select("vec_id", F.slice("embedding", 1, 16).alias("vector"))
+    v = V.vectors(spark, sf).select("vec_id", F.col("embedding").alias("vector"))
     owners = F.array(*[F.struct(F.lit(b).cast("bigint").alias("event_id"), (F.col("vec_id") - b).cast("int").alias("slot")) for b in (0, 10, 20)])
     tv = v.select(F.explode(owners).alias("o"), "vector").select("o.event_id", "o.slot", "vector").where(F.col("slot").between(0, 9))
-    out = FE.line_context_vector(ph.drop("user_id"), tv, v.withColumnRenamed("vec_id", "param"), 16, 8)
-    return out.select("line_id", "placeholders", r6(F.get("context", F.lit(0))).alias("first_bin"), r6(F.get("context", F.lit(7))).alias("last_bin"))
+    out = FE.line_context_vector(ph.drop("user_id"), tv, v.withColumnRenamed("vec_id", "param"), 64, 8)
+    return out.select("line_id", "placeholders", F.posexplode_outer("context").alias("bin", "context")).withColumn("context", r6("context"))
 
 
 @register("text_vectorizer")

@@ -192,14 +192,14 @@ def session_features(spark, sf):
     return f.select("session_id", "label", text_of("sequential").alias("sequential"), text_of("quantitative").alias("quantitative"))
 
 
-@register("session_semantics", "s1", SF_SQL + """ SELECT session_id, p - 1 AS pos, CASE WHEN seq[p] = 0 THEN -1.0 ELSE
-    round(CAST((SELECT embedding[1] FROM embeddings WHERE vec_id = seq[p] - 1) AS DOUBLE), 6) END AS first_dim
-    FROM (SELECT *, unnest(generate_series(1, 10)) AS p FROM l)""")
+@register("session_semantics", "s1", SF_SQL + """ SELECT session_id, p - 1 AS pos, d - 1 AS dim, CASE WHEN seq[p] = 0 THEN -1.0 ELSE round(CAST(e.embedding[d] AS DOUBLE), 6) END AS semantic
+    FROM (SELECT *, unnest(generate_series(1, 10)) AS p FROM l) x LEFT JOIN embeddings e ON e.vec_id = x.seq[p] - 1,
+        (SELECT unnest(generate_series(1, 64)) AS d) WHERE seq[p] = 0 OR e.embedding IS NOT NULL""")
 def session_semantics(spark, sf):
     s = V.sessions(spark, sf)
     f = W.session_features(D.encode_events(s, D.build_vocab_first_seen(s)), 10, 29)
     sem = W.session_semantics(f, V.vectors(spark, sf), 64, "vec_id", "embedding")
-    return sem.select("session_id", "pos", r6(F.get("semantic", F.lit(0))).alias("first_dim"))
+    return sem.select("session_id", "pos", F.posexplode("semantic").alias("dim", "semantic")).withColumn("semantic", r6("semantic"))
 
 
 @register("chunk_sequence", "s1", "SELECT session_id, pos // 7 AS chunk, pos % 7 AS chunk_pos, event, line_id FROM s1 WHERE n_events >= 10 AND pos < 20")

@@ -36,7 +36,7 @@ def scale_gamma(vectors: DataFrame, width: int, vector: str = "features") -> flo
 
 
 def fit_one_class_svm(
-    vectors: DataFrame, nu: float = 0.5, gamma: float | str = "scale", dims: int = 256, steps: int = 200, tolerance: float = 1e-3, seed: int = 7, vector: str = "features"
+    vectors: DataFrame, nu: float = 0.5, gamma: float | str = "scale", dims: int = 256, steps: int = 60, tolerance: float = 1e-3, seed: int = 7, vector: str = "features"
 ) -> Boundary:
     """Minimise ``|w|^2 / 2 - rho + mean(hinge(rho - w.z)) / nu``; rho is the nu-quantile of the scores.
 

@@ -73,7 +73,7 @@ def fit_isolation_forest(
     spread = vectors.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("_h", draw)
     bound = min(1.0, (psi + 8 * np.sqrt(psi)) / max(n, 1))
     while True:
-        near = materialise(spread.where(F.col("_h") <= int(bound * (2**64 - 1)) - 2**63))
+        near = materialise(spread.where(F.col("_h") <= min(int(bound * 2**64) - 2**63, 2**63 - 1)))
         if bound == 1.0 or near.groupBy("tree").count().where(F.col("count") >= psi).count() == trees:
             break
         bound = min(1.0, 2 * bound)

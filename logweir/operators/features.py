@@ -149,10 +149,11 @@ def scale_times(events: DataFrame, fit_on: DataFrame, time: str = "delta_t", met
 def dataset_summary(sessions: DataFrame, split: str = "split", label: str = "label") -> DataFrame:
     """Totals, anomalies and normals per split, and over all splits."""
     return sessions.rollup(split).agg(
+        F.grouping(split).alias("_all"),
         F.count(F.lit(1)).alias("total"),
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("anomalies"),
         F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("normals"),
-    ).withColumn(split, F.coalesce(split, F.lit("all")))
+    ).withColumn(split, F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col(split))).drop("_all")
 
 
 def unknown_event_count(encoded: DataFrame, idx: str = "idx", unknown: int = 0) -> DataFrame:
