@@ -18,13 +18,13 @@ text when documents are held out. Tables without training documents give a model
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from logweir.llm.common import mixed, stored
@@ -37,6 +37,8 @@ ROWS = 1 << 16
 ROUNDS = 2
 RATE = 0.5
 BATCH = 1 << 15
+#: Tokens that a training task takes at least: it sends a change for most rows, however little it has read.
+TASK_TOKENS = 4_000_000
 END = b"\n"
 
 _SCALE = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -108,15 +110,21 @@ class _Numbers(dict):
 
     def __init__(self, words: Vocabulary):
         super().__init__({t: i for i, t in enumerate(words.top)})
-        self.hash = [xxhash.xxh64_intdigest(t) for t in words.top]
-        self.cls = words.top_class.tolist()
+        self.names = list(words.top)
+        self.hash = np.array([xxhash.xxh64_intdigest(t) for t in words.top], np.uint64)
+        self.cls = words.top_class.astype(np.int64)
 
     def __missing__(self, token: bytes) -> int:
-        i = self[token] = len(self.hash)
-        self.hash.append(xxhash.xxh64_intdigest(token))
-        self.cls.append(_rare_class(token))
+        i = self[token] = len(self.names)
+        self.names.append(token)
         return i
 
+    def settle(self) -> None:
+        """Hashes and classes of the words that came since the last call."""
+        new = self.names[len(self.hash) :]
+        self.hash = np.r_[self.hash, np.array([xxhash.xxh64_intdigest(t) for t in new], np.uint64)]
+        self.cls = np.r_[self.cls, np.array([_rare_class(t) for t in new], np.int64)]
+
 
 class _Reader:
     """Turns texts of a batch into arrays: a task's words get numbers once."""
@@ -130,7 +138,8 @@ class _Reader:
         if len(self.number) > 2_000_000:
             self.number = _Numbers(self.words)
         numbers = [np.array(list(map(self.number.__getitem__, tokens_of(t)))) for t in texts]
-        return numbers, np.array(self.number.hash, np.uint64), np.array(self.number.cls, np.int64)
+        self.number.settle()
+        return numbers, self.number.hash, self.number.cls
 
 
 def _features(numbers: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
@@ -227,7 +236,8 @@ def train(docs: DataFrame, words: Vocabulary) -> np.ndarray:
             out.insert(0, "row", rows.astype(np.int32))
             yield out
 
-        part = docs.where(F.col("part") == k).select("text")
+        tasks = max(1, words.train_tokens // (ROUNDS * TASK_TOKENS))
+        part = docs.where(F.col("part") == k).select("text").coalesce(tasks)
         summed = part.mapInPandas(learn, schema).groupBy("row").agg(F.sum("tokens").alias("tokens"), *[F.sum(c).alias(c) for c in columns])
         got = summed.toPandas()  # at most 2 * ROWS rows
         flat = weights.reshape(-1, WIDTH).copy()
@@ -258,12 +268,13 @@ def score(docs: DataFrame, words: Vocabulary, weights: np.ndarray, counts: DataF
         w = shared_words.value
         reader, top = _Reader(w), len(w.top)
         base = np.log10((w.top_counts + 1) / w.base_total) if top else np.empty(0)
+        first, done = TaskContext.get().partitionId() << 33, 0  # a row's number, for the join of its rare words
         for batch in batches:
             ids, out_flags = batch["doc_id"].astype("Int64"), batch["held_out"]
             at = 0
             for piece in _pieces(list(batch["text"])):
                 numbers, hashes, classes = reader.read(piece)
-                names = list(reader.number)
+                names = reader.number.names
                 features = _features(numbers, hashes)
                 cls = classes[np.concatenate(numbers)]
                 parts = [_class_scores(shared.value, features[:, i : i + BATCH], cls[i : i + BATCH]) for i in range(0, len(cls), BATCH)]
@@ -271,21 +282,22 @@ def score(docs: DataFrame, words: Vocabulary, weights: np.ndarray, counts: DataF
                 for k, row in enumerate(numbers):
                     common = row[row < top]
                     rare, n = np.unique(row[row >= top], return_counts=True)
-                    own = [{"token": names[i], "n": int(c), "cls": int(classes[i])} for i, c in zip(rare, n, strict=True)]
                     total = float(scores[place : place + len(row)].sum() + w.top_within[common].sum())
-                    rows.append((uuid.uuid4().bytes, ids.iloc[at + k], bool(out_flags.iloc[at + k]), len(row), len(common), float(base[common].sum()), total, own))
+                    own = ([names[i] for i in rare.tolist()], n, classes[rare].astype(np.int32))
+                    rows.append((first + done, ids.iloc[at + k], bool(out_flags.iloc[at + k]), len(row), len(common), float(base[common].sum()), total, *own))
+                    done += 1
                     place += len(row)
                 at += len(piece)
-                made = pd.DataFrame(rows, columns=["key", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
+                made = pd.DataFrame(rows, columns=["key", "doc_id", "held_out", "n_tokens", "known", "base", "score", "token", "n", "cls"])
                 made["doc_id"] = made["doc_id"].astype("Int64")
                 yield made
 
     schema = (
-        "key binary, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, "
-        "rare array<struct<token: binary, n: long, cls: int>>"
+        "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, "
+        "token array<binary>, n array<long>, cls array<int>"
     )
     scored = stored(docs.select("doc_id", "held_out", "text").mapInPandas(judge, schema), "lm-scores")
-    rare = scored.select("key", F.inline("rare")).join(counts.select("token", F.col("n").alias("c")), "token", "left")
+    rare = scored.select("key", F.inline(F.arrays_zip("token", "n", "cls"))).join(counts.select("token", F.col("n").alias("c")), "token", "left")
     once, total = (F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) for m in (words.rare_once, words.rare_total))
     seen = F.coalesce("c", F.lit(0))
     within = F.log10(F.when(seen > 0, seen).otherwise(once[F.col("cls")]) / total[F.col("cls")])
@@ -295,7 +307,7 @@ def score(docs: DataFrame, words: Vocabulary, weights: np.ndarray, counts: DataF
         F.sum(F.col("n") * within).alias("rare_score"),
     )
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return scored.drop("rare").join(sums, "key", "left").select(
+    return scored.drop("token", "n", "cls").join(sums, "key", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
