@@ -232,3 +232,18 @@ def test_splits_by_count_and_missing_label(spark):
     got = [r.split for r in SP.split_normal_abnormal(df, 3, 1).collect()]
     assert (got.count("train"), got.count("test_normal"), got.count("test_abnormal")) == (3, 4, 2)
     assert SP.sample_without_replacement(df, ["session_id"], 4, 1).count() == 4
+
+
+def test_models_are_stored_and_read_back(spark, tmp_path):
+    from logweir.detectors.forest import Forest
+    from logweir.sources.models import read_model, write_model
+
+    models = [
+        L.ResidualModel(np.arange(6.0).reshape(3, 2), 0.5),
+        L.Invariants({(0, 2): [1.0, -2.0], (1,): [1.0]}, 3, 2),
+        L.Hypersphere([0.1, 0.2], 1.5),
+        Forest([np.eye(5), np.ones((2, 5))], 256, -0.5),
+    ]
+    for k, model in enumerate(models):
+        back = read_model(spark, write_model(spark, model, str(tmp_path / str(k))), type(model))
+        assert str(back) == str(model)
