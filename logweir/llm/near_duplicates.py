@@ -8,10 +8,10 @@ once; only classes are compared.
    set, five standard deviations otherwise. Passages that many documents share are common values, so they list nothing.
 2. Lists of up to ``SHORT`` classes give their pairs. Classes of longer lists (big groups of near copies) are listed once more by
    their full sets, again under the rarest shingles that a linked pair cannot all miss, which is exact.
-3. Lists that are still long are searched from pivots: the classes with the fewest unique shingles first, which gather the
+3. Lists that are still long are searched from pivots: first the class with the fewest rarer shingles, which gathers the
    group into one component, then in rounds all classes outside the list's largest component. Only pairs of different
-   components whose unique shingles leave room for a link are compared. A list is done when no such pair is left, so no link
-   between components is lost and pairs inside a component are not listed.
+   components are compared, and only where what the two sets have besides rarer shingles leaves room for a link. A list is done
+   when no such pair is left, so no link between components is lost and pairs inside a component are not listed.
 4. Pairs are filtered by the similarity that the smallest hashes of the union of both sketches estimate (six standard
    deviations below the threshold), then verified on the full sets. Components of the links follow in ``components``.
 
@@ -75,27 +75,30 @@ def _values(packed: Column) -> Column:
 
 
 def _rare_lists(held: DataFrame, places: Column) -> DataFrame:
-    """(value, vid, n, held, own): each set under its rarest shared elements.
+    """(value, vid, n, pos): each set under its rarest shared elements.
 
     ``held`` has vid, n (set size), held (elements at hand) and one element ``value`` per row; ``places`` says how many of its rarest
-    elements a set is listed under. Elements of only one set are the rarest: they list nothing but use up places. ``own`` is
-    how many of them the set has. A set's list of shared elements is as long as the set at most.
+    elements a set is listed under. Elements of only one set are the rarest: they list nothing but use up places. ``pos`` is
+    how many rarer elements the set has. A set's list of shared elements is as long as the set at most.
     """
     counts = held.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     by_set = held.join(counts, "value").groupBy("vid", "n", "held").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
     own = (F.col("held") - F.size("shared")).cast("int")
     left = F.greatest(F.lit(0), places - own)
-    return by_set.select("vid", "n", "held", own.alias("own"), F.explode(F.slice("shared", F.lit(1), left)).alias("e")).select(
-        F.col("e.value").alias("value"), "vid", "n", "held", "own"
+    return by_set.select("vid", "n", own.alias("own"), F.posexplode(F.slice("shared", F.lit(1), left)).alias("at", "e")).select(
+        F.col("e.value").alias("value"), "vid", "n", (F.col("own") + F.col("at")).alias("pos")
     )
 
 
 def _room(percent: int, whole: bool) -> Column:
-    """Whether sets ``x`` and ``y`` can be linked, going by their sizes and (if all elements are at hand) their own elements."""
+    """Whether sets ``x`` and ``y`` can be linked if the value at hand is the rarest that they share.
+
+    Sizes must agree; if the lists cover whole sets, what comes after the rarer elements must be enough for a link.
+    """
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     fits = small * 100 >= large * percent
     if whole:
-        most = F.least(F.col("x.n") - F.col("x.own"), F.col("y.n") - F.col("y.own"))
+        most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
         fits &= most * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
     return fits
 
@@ -186,7 +189,7 @@ def _long_lists(lists: DataFrame, links: DataFrame, verifier: _Verifier, sets: D
     """Links that connect all components which pairs of the long lists connect; ``links`` are those known before."""
     percent = verifier.percent
     # The first pivots of a list come from an aggregate, so that a list is never one task's window.
-    first = lists.groupBy("value").agg(F.min(F.struct(F.col("own") / F.col("n"), "vid")).alias("f"), F.max("members").alias("members"))
+    first = lists.groupBy("value").agg(F.min(F.struct(F.col("pos") / F.col("n"), "vid")).alias("f"), F.max("members").alias("members"))
     pivots = lists.join(first.select("value", F.col("f.vid").alias("first")), "value").where("vid = first").drop("first")
     done = stored(lists.select("value", "vid").limit(0), "near-done")
     while True:
