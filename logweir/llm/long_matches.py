@@ -148,16 +148,20 @@ def _counted_marks(stretches: DataFrame, length: int) -> DataFrame:
                         "b": _rolling(joined, length, _BASES[1]).view(np.int64)[at],
                         "id": some["id"].to_numpy()[which],
                         "shift": shift.astype(np.int32),
-                        "n": np.array([len(x) for x in some["starts"]])[which],
+                        "n": some["n"].to_numpy()[which],
                     }
                 )
 
-    # The windows of a stretch are named by their place in it; stretches have numbers of their own.
-    numbered = stored(stretches.withColumn("id", F.monotonically_increasing_id()), "hot-stretches")
-    fixed = stored(numbered.select("id", "stretch", "starts").mapInPandas(name, "a long, b long, id long, shift int, n long"), "hot-windows")
-    twice = fixed.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").select("a", "b")
-    found = fixed.join(twice, ["a", "b"]).groupBy("id").agg(F.collect_list("shift").alias("shifts"))
-    places = numbered.select("id", "digest", "starts").join(found, "id")
+    # Equal stretches of all texts are named once. One with several places is marked as a whole; it still counts for the others.
+    held = stored(stretches.withColumn("name", F.unhex(F.md5("stretch"))), "hot-stretches")
+    one = held.groupBy("name").agg(F.first("stretch").alias("stretch"), F.sum(F.size("starts")).alias("n"))
+    numbered = stored(one.withColumn("id", F.monotonically_increasing_id()), "hot-distinct")
+    fixed = stored(numbered.select("id", "stretch", "n").mapInPandas(name, "a long, b long, id long, shift int, n long"), "hot-windows")
+    twice = fixed.groupBy("a", "b").agg(F.sum("n").alias("total")).where("total > 1").select("a", "b")
+    found = fixed.where("n = 1").join(twice, ["a", "b"]).groupBy("id").agg(F.collect_list("shift").alias("shifts"))
+    whole = F.when(F.col("n") > 1, F.sequence(F.lit(0), F.octet_length("stretch") - length))
+    shifts = numbered.join(found, "id", "left").select("name", F.coalesce(whole, "shifts").alias("shifts")).where(F.col("shifts").isNotNull())
+    places = held.select("name", "digest", "starts").join(shifts, "name")
 
     def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
