@@ -43,12 +43,15 @@ class ChunkEncoder:
     from the punctuation after them and lowers A-Z, so a new chunk that is a word with punctuation is put together from both.
     """
 
-    def __init__(self, path: str, held: int = 1_000_000):
+    def __init__(self, path: str, held: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
         self.held = held
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @staticmethod
     def _parts(chunk: str) -> tuple[str, ...]:
@@ -57,15 +60,30 @@ class ChunkEncoder:
             return (chunk,)
         return tuple(filter(None, (word.lower() if word.isascii() else word, chunk[len(word) :])))
 
+    def _words(self, words: list[str]) -> None:
+        """Encodes words of letters many at a time; each ends with a token that ends a word."""
+        groups = [words[at : at + 1024] for at in range(0, len(words), 1024)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(group):
+                self._singly(group)
+                continue
+            packed = ids.tobytes()
+            self.known.update(zip(group, map(packed.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def _singly(self, parts: list[str]) -> None:
+        for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+            self.known[p] = array("I", e.ids).tobytes()
+
     def _learn(self, chunks: set[str]) -> None:
         new = {c: self._parts(c) for c in chunks}
         parts = list({p for ps in new.values() for p in ps if p not in self.known})
-        for at in range(0, len(parts), 4096):
-            some = parts[at : at + 4096]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[p] = array("I", e.ids).tobytes()
+        self._words([p for p in parts if p.isalpha()])
+        self._singly([p for p in parts if not p.isalpha()])
         for c, ps in new.items():
-            self.known[c] = b"".join([self.known[p] for p in ps])
+            if c not in self.known:
+                self.known[c] = b"".join([self.known[p] for p in ps])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.held:
