@@ -55,7 +55,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hash of each word of the text, with A-Z in lower case."""
     words = (text or "").encode("utf-8", "replace").lower().split()
-    if len(_words) > 1_000_000:
+    if len(_words) > 250_000:
         _words.clear()
     out = np.empty(len(words), np.uint64)
     get = _words.get
