@@ -4,8 +4,8 @@ A document's sketch holds the ``K`` smallest hashes of its shingle set. Document
 once; only classes are compared.
 
 1. Inverted lists of retained values. Values are ordered by the number of classes that retain them; a class is listed
-   under its rarest ones only, as many as two linked classes cannot all miss (``_prefix``): exact where the sketch is the whole
-   set, five standard deviations otherwise. Passages that many documents share are common values, so they list nothing.
+   under its rarest ones only, as many as two linked classes cannot all miss (``_prefix``): exact where one of the two sketches is
+   the whole set, five standard deviations otherwise. Passages that many documents share are common values, so they list nothing.
 2. Lists of up to ``SHORT`` classes give their pairs. Classes of longer lists (big groups of near copies) are listed once more by
    their full sets, again under the rarest shingles that a linked pair cannot all miss, which is exact.
 3. Lists that are still long are searched from pivots: first the class with the fewest rarer shingles, which gathers the
@@ -61,11 +61,17 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _prefix(n: Column, percent: int) -> Column:
-    """How many of its rarest retained values a class of ``n`` shingles is listed under."""
+    """How many of its rarest retained values a class of ``n`` shingles is listed under.
+
+    A whole sketch may meet a truncated one: a union of two linked sets has ``100 * n / percent`` shingles at most, and the
+    truncated sketch lacks what the union has beyond ``K``. So many places make such pairs exact too (above 50 percent).
+    """
     miss = 1 - percent / 100
     sampled = math.ceil(K * miss + 5 * math.sqrt(K * miss * (1 - miss))) + 1
     whole = n - F.ceil(n * percent / 100) + 1
-    return F.when(n <= K, whole).otherwise(F.lit(min(K, sampled))).cast("int")
+    beyond = F.floor(n * 100 / percent) - K + 1
+    near = F.when(n * percent <= K * 100, F.least(F.lit(K), F.greatest(whole, F.lit(sampled))))
+    return F.when(n <= K, F.greatest(whole, beyond)).otherwise(F.coalesce(near, F.lit(min(K, sampled)))).cast("int")
 
 
 def _values(packed: Column) -> Column:

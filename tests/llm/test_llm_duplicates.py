@@ -57,6 +57,18 @@ def test_components_of_near_copies(spark, size, short, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == component_ids(rows, size, 80)
 
 
+def test_links_of_whole_sketches_with_truncated_ones(spark):
+    """Sets of about a sketch's size with appended words, or with first words dropped as well, sharing nothing with other sets."""
+    rows = []
+    for small in range(45, 53):
+        for large in range(small, 63):
+            for cut in (0, 1, 2):
+                words = [f"p{len(rows)}w{i}" for i in range(large + 3)]
+                rows += [(len(rows), " ".join(words[: small + 3])), (len(rows) + 1, " ".join(words[cut : large + 3]))]
+    got = near_duplicates.near_duplicates(cases.with_clashes(spark, rows), size=4).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == component_ids(rows, 4, 80)
+
+
 def test_one_document_of_a_group_stays(spark):
     rows = cases.odd_rows()
     kept = near_duplicates.without_near_duplicates(cases.with_clashes(spark, rows))
