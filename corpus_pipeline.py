@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from logweir.llm import decontamination, line_chunks, near_duplicates, packing, quality_rules
-from logweir.llm.common import WORD, stored, table
+from logweir.llm.common import WORD, stored, table, without_copies
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -20,8 +20,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the line chunks that stand elsewhere before; those that lose all their words go."""
-    found = line_chunks.dedup_lines(docs)
+    """One document of each group of equal texts, without the line chunks that stand elsewhere before; those that lose all their words go.
+
+    Chunks alone would leave the one-line chunks of a copy as a text of its own.
+    """
+    found = line_chunks.dedup_lines(without_copies(docs))
     lost = (F.col("removed_chunks") > 0) & ~F.col("kept").rlike(WORD)
     columns = [F.col(f"doc.`{c}`") for c in docs.columns]
     changed = found.where(~lost).select(*columns, F.col("kept").alias("_kept"), (F.col("removed_chunks") > 0).alias("_changed"))

@@ -46,6 +46,21 @@ def without_keys(docs: DataFrame, keys: DataFrame, doc_id: str, text: str) -> Da
     return docs.join(F.broadcast(gone) if few else gone, here == F.col("_gone"), "left_anti")
 
 
+def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each group of equal texts: the one with the smallest id, a null id last.
+
+    Texts without words are left alone, and so are rows equal in id and text to the one that stays.
+    """
+    name, body = F.col(f"`{doc_id}`").cast("long"), F.col(f"`{text}`")
+    copy = F.unhex(F.sha2(body.cast("binary"), 256))
+    place = F.struct(name.isNull().alias("unnamed"), name.alias("id"), document_key(name, body).alias("key"))
+    facts = stored(docs.where(body.rlike(WORD)).select(copy.alias("copy"), place.alias("place")), "copies")
+    first = stored(facts.groupBy("copy").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "first-copies")
+    few = first.count() <= SMALL_KEYS
+    later = facts.join(F.broadcast(first) if few else first, "copy").where("place.key <> first.key")
+    return without_keys(docs, later.select("place.key"), doc_id, text)
+
+
 # Hashes of words and word shingles, for use inside tasks.
 
 _words: dict[bytes, int] = {}

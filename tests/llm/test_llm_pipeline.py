@@ -75,3 +75,16 @@ def test_pipeline_is_its_plain_stages(spark):
     assert Counter(zip(got.doc_id, got.piece, got.start, got.length, got.ids_crc32)) == want
     for _, part in got.sort_values("offset").groupby("sequence_id"):
         assert list(part.offset) == [0, *np.cumsum(part.length)[:-1]] and part.length.sum() <= 2048
+
+
+def test_exact_copies_leave_no_remnants(spark):
+    texts = ["\n".join(f"line {k} of text {i} " + "word " * 12 + f"end {k}" for k in range(12)) for i in range(8)]
+    assert any(len(lines) == 1 for t in texts for _, lines in plain_chunks(t))
+    rows = [(10 * c + i, t, len(t)) for c in range(3) for i, t in enumerate(texts)] + [(None, texts[0], 1), (0, texts[0], len(texts[0]))]
+    rows += [(90, "", 0), (91, "", 0), (92, None, None), (93, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").repartition(5)
+    left = corpus_pipeline.line_dedup(spark, docs, SF)
+    assert left.columns == docs.columns
+    want = Counter({(i, t): 1 for i, t in enumerate(texts)} | {(0, texts[0]): 2, (90, ""): 1, (91, ""): 1, (92, None): 1, (93, None): 1})
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == want
+    assert Counter(r.doc_id for r in corpus_pipeline.near_dedup(spark, left, SF).where("text <> ''").collect()) == Counter(range(8))
