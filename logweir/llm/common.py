@@ -24,6 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(rows: DataFrame, *ids: str) -> DataFrame:
+    """``rows`` with its ids as strings, the form in which they go through pandas: a long column with a null is a double there."""
+    return rows.withColumns({c: F.col(c).cast("string") for c in ids})
+
+
+def numbered(rows: DataFrame, *ids: str) -> DataFrame:
+    """Ids that were ``carried``, as long again."""
+    return rows.withColumns({c: F.col(c).cast("long") for c in ids})
+
+
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))

@@ -22,7 +22,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from logweir.llm.common import document_key, shingle_set, stored, without_keys
+from logweir.llm.common import carried, document_key, numbered, shingle_set, stored, without_keys
 
 RETAINED = 64
 SLOTS = 1 << 22
@@ -36,7 +36,7 @@ def item_sketches(items: DataFrame, size: int, retained: int = RETAINED) -> Data
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for item_id, text in zip(batch["item_id"].astype("Int64"), batch["text"], strict=True):
+            for item_id, text in zip(batch["item_id"], batch["text"], strict=True):
                 s = shingle_set(text, size)
                 if not len(s):
                     continue
@@ -44,12 +44,10 @@ def item_sketches(items: DataFrame, size: int, retained: int = RETAINED) -> Data
                 bound = min((1 << 64) - 1, (retained << 64) >> part)
                 kept = s[s <= np.uint64(bound)]
                 rows.append((item_id, xxhash.xxh3_64_intdigest(s.tobytes()) >> 1, len(s), part, s.tobytes(), kept.view(np.int64).tolist()))
-            out = pd.DataFrame(rows, columns=["item_id", "item", "n", "part", "shingles", "kept"])
-            out["item_id"] = out["item_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["item_id", "item", "n", "part", "shingles", "kept"])
 
-    schema = "item_id long, item long, n long, part int, shingles binary, kept array<long>"
-    return items.mapInPandas(read, schema).dropDuplicates(["item_id", "item"])
+    schema = "item_id string, item long, n long, part int, shingles binary, kept array<long>"
+    return numbered(carried(items, "item_id").mapInPandas(read, schema), "item_id").dropDuplicates(["item_id", "item"])
 
 
 def contained_items(
@@ -92,25 +90,23 @@ def contained_items(
     likely = stored(held.where(enough).select("key", "item_id", "item"), "item-pairs")
 
     sets = likely.join(known.select("item_id", "item", "n", "shingles"), "item").where(likely.item_id.eqNullSafe(known.item_id))
-    by_doc = sets.groupBy("key").agg(F.collect_list(F.struct(known.item_id, "n", "shingles")).alias("sets"))
+    by_doc = sets.groupBy("key").agg(F.collect_list(F.struct(known.item_id.cast("string").alias("item_id"), "n", "shingles")).alias("sets"))
     few = likely.select("key").distinct().count() <= SMALL_ROWS
     met = rows.join(F.broadcast(by_doc) if few else by_doc, "key")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, doc_id, text, sets in zip(batch["key"], batch["doc_id"].astype("Int64"), batch["text"], batch["sets"], strict=True):
+            for key, doc_id, text, sets in zip(batch["key"], batch["doc_id"], batch["text"], batch["sets"], strict=True):
                 whole = shingle_set(text, size)
                 for one in sets:
                     shared = int(np.isin(np.frombuffer(one["shingles"], np.uint64), whole, assume_unique=True).sum())
                     if 100 * shared >= percent * one["n"]:
                         out.append((key, doc_id, one["item_id"], one["n"], shared))
-            made = pd.DataFrame(out, columns=["key", "doc_id", "item_id", "item_shingles", "shared"])
-            made["doc_id"] = made["doc_id"].astype("Int64")
-            made["item_id"] = made["item_id"].astype("Int64")
-            yield made
+            yield pd.DataFrame(out, columns=["key", "doc_id", "item_id", "item_shingles", "shared"])
 
-    return met.mapInPandas(verify, "key binary, doc_id long, item_id long, item_shingles long, shared long")
+    found = carried(met, "doc_id").mapInPandas(verify, "key binary, doc_id string, item_id string, item_shingles long, shared long")
+    return numbered(found, "doc_id", "item_id")
 
 
 def without_items(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:

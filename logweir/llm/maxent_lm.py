@@ -27,7 +27,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logweir.llm.common import mixed, stored
+from logweir.llm.common import carried, mixed, numbered, stored
 
 WIDTH = 16
 RARE = 8
@@ -270,7 +270,7 @@ def score(docs: DataFrame, words: Vocabulary, weights: np.ndarray, counts: DataF
         base = np.log10((w.top_counts + 1) / w.base_total) if top else np.empty(0)
         first, done = TaskContext.get().partitionId() << 33, 0  # a row's number, for the join of its rare words
         for batch in batches:
-            ids, out_flags = batch["doc_id"].astype("Int64"), batch["held_out"]
+            ids, out_flags = batch["doc_id"], batch["held_out"]
             at = 0
             for piece in _pieces(list(batch["text"])):
                 numbers, hashes, classes = reader.read(piece)
@@ -288,15 +288,13 @@ def score(docs: DataFrame, words: Vocabulary, weights: np.ndarray, counts: DataF
                     done += 1
                     place += len(row)
                 at += len(piece)
-                made = pd.DataFrame(rows, columns=["key", "doc_id", "held_out", "n_tokens", "known", "base", "score", "token", "n", "cls"])
-                made["doc_id"] = made["doc_id"].astype("Int64")
-                yield made
+                yield pd.DataFrame(rows, columns=["key", "doc_id", "held_out", "n_tokens", "known", "base", "score", "token", "n", "cls"])
 
     schema = (
-        "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, "
+        "key long, doc_id string, held_out boolean, n_tokens long, known long, base double, score double, "
         "token array<binary>, n array<long>, cls array<int>"
     )
-    scored = stored(docs.select("doc_id", "held_out", "text").mapInPandas(judge, schema), "lm-scores")
+    scored = stored(numbered(carried(docs.select("doc_id", "held_out", "text"), "doc_id").mapInPandas(judge, schema), "doc_id"), "lm-scores")
     rare = scored.select("key", F.inline(F.arrays_zip("token", "n", "cls"))).join(counts.select("token", F.col("n").alias("c")), "token", "left")
     once, total = (F.create_map(*[F.lit(x) for kv in m.items() for x in kv]) for m in (words.rare_once, words.rare_total))
     seen = F.coalesce("c", F.lit(0))

@@ -30,7 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from logweir.llm.common import document_key, shingle_set, stored, without_keys
+from logweir.llm.common import carried, document_key, numbered, shingle_set, stored, without_keys
 from logweir.llm.components import components
 
 K = 48
@@ -40,7 +40,7 @@ ROUND_PAIRS = 1 << 20
 #: Ids up to which a set of wanted documents is sent to all tasks.
 SMALL_IDS = 500_000
 
-SKETCH = "key binary, doc_id long, n_shingles long, cls binary, sketch binary"
+SKETCH = "key binary, doc_id string, n_shingles long, cls binary, sketch binary"
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
@@ -54,10 +54,10 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             out = pd.DataFrame([one(t) for t in batch["text"]], columns=["n_shingles", "cls", "sketch"])
             out["key"] = batch["key"].to_numpy()
-            out["doc_id"] = batch["doc_id"].astype("Int64").array
+            out["doc_id"] = batch["doc_id"].to_numpy()
             yield out
 
-    return docs.mapInPandas(batches_of, SKETCH)
+    return numbered(carried(docs, "doc_id").mapInPandas(batches_of, SKETCH), "doc_id")
 
 
 def _prefix(n: Column, percent: int) -> Column:

@@ -24,9 +24,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from logweir.llm.common import stored
+from logweir.llm.common import carried, numbered, stored
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 RANK_ROWS = 1 << 17
 #: Rows of the plan above which it is joined by shuffle rather than sent to the tasks.
 PLAN_ROWS = 200_000
@@ -115,11 +115,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int
                     for k, start in enumerate(range(0, len(ids), 4 * most)):
                         part = ids[start : start + 4 * most]
                         rows.append((doc_id, k, start // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.mapInPandas(cut, PIECES)
+    return numbered(carried(docs, "doc_id").mapInPandas(cut, PIECES), "doc_id")
 
 
 def best_fit_plan(runs: dict[int, int], most: int = 2048) -> list[tuple[int, int, int, int, int, int]]:

@@ -22,7 +22,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
-from logweir.llm.common import stored
+from logweir.llm.common import carried, numbered, stored
 from logweir.session import fresh_path
 
 ARCHIVE_BYTES = 32 << 20
@@ -32,6 +32,7 @@ DICTIONARY_FRAME = 0x184D2A5D
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 ROW = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+IDS = ("page_id", "refers_to")
 
 
 def record_roles(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -62,8 +63,8 @@ def _record_id(page_id: int | None, digest: bytes) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest.hex()}')}>"
 
 
-def _number(value: object) -> int | None:
-    return None if value is None or pd.isna(value) else int(value)
+def _number(value: str | None) -> int | None:
+    return None if value is None else int(value)
 
 
 def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: int | None, date: str) -> bytes:
@@ -122,7 +123,7 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
         if records:
             yield pd.DataFrame({"archive": [_write_archive(folder, records)], "records": [len(records)]})
 
-    wanted = pages.select("page_id", "url", "payload", "digest", "refers_to")
+    wanted = carried(pages.select("page_id", "url", "payload", "digest", "refers_to"), *IDS)
     return stored(wanted.mapInPandas(write, "archive string, records long"), "warc-manifest")
 
 
@@ -147,14 +148,14 @@ def _frames(data: io.BufferedIOBase) -> Iterator[bytes]:
 
 
 def parse_record(record: bytes) -> tuple:
-    """The fields of ``ROW``. Length and digest of a response come from its payload, which must agree with the header."""
+    """The fields of ``ROW``, ids as strings. Length and digest of a response come from its payload, which must agree with the header."""
     head, _, rest = record.partition(b"\r\n\r\n")
     fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
     block = rest[: int(fields[b"Content-Length"])]
-    page = int(fields[b"WARC-X-Page"]) if b"WARC-X-Page" in fields else None
+    page = fields[b"WARC-X-Page"].decode() if b"WARC-X-Page" in fields else None
     stated = fields[b"WARC-Payload-Digest"].removeprefix(b"sha1:").decode()
     if fields[b"WARC-Type"] == b"revisit":
-        return page, int(fields[b"WARC-X-Payload-Length"]), stated, "revisit", int(fields[b"WARC-X-Refers-To-Page"]), None
+        return page, int(fields[b"WARC-X-Payload-Length"]), stated, "revisit", fields[b"WARC-X-Refers-To-Page"].decode(), None
     payload = block[len(HTTP_HEAD) :]
     digest = hashlib.sha1(payload).hexdigest()
     if digest != stated:
@@ -177,21 +178,15 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True, files
                         rows.append(row if payloads else row[:-1])
                         held += len(record)
                         if held > 4 << 20:
-                            yield _frame_of(rows, names)
+                            yield pd.DataFrame(rows, columns=names)
                             rows, held = [], 0
                     if rows:
-                        yield _frame_of(rows, names)
+                        yield pd.DataFrame(rows, columns=names)
 
     tasks = max(1, manifest.count() // files_per_task)
-    schema = ROW if payloads else ROW.rpartition(",")[0]
-    return manifest.select("archive").repartition(tasks, "archive").mapInPandas(read, schema)
-
-
-def _frame_of(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    for c in ("page_id", "payload_bytes", "refers_to"):
-        out[c] = out[c].astype("Int64")
-    return out
+    fields = ROW if payloads else ROW.rpartition(",")[0]
+    schema = fields.replace("page_id long", "page_id string").replace("refers_to long", "refers_to string")
+    return numbered(manifest.select("archive").repartition(tasks, "archive").mapInPandas(read, schema), *IDS)
 
 
 def archive_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 1000) -> tuple[DataFrame, str]:

@@ -48,3 +48,7 @@ def odd(spark):
 
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+#: Ids that a double cannot hold, beside a null id.
+LARGE = [(1 << 60) + 1, (1 << 60) + 3, None]
