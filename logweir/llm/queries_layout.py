@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from logweir.llm import packing, sharding, warc
+from logweir.llm import packing, sharding, token_files, warc
 from logweir.llm.common import table
 from logweir.llm.registry import register
 
@@ -28,3 +28,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 0), 2048)
+
+
+@register("op13_elias_fano_tokens")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
