@@ -16,6 +16,7 @@ import bisect
 import functools
 import os
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -56,7 +57,8 @@ class ChunkEncoder:
     @staticmethod
     def _parts(chunk: str) -> tuple[str, ...]:
         word = chunk.rstrip(".,;:!?")
-        if not word.isalpha():
+        # A letter whose lower case brings a mark along would join that mark with the punctuation.
+        if not word.isalpha() or not (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha()):
             return (chunk,)
         return tuple(filter(None, (word.lower() if word.isascii() else word, chunk[len(word) :])))
 

@@ -148,7 +148,7 @@ def test_plans_place_every_rank_and_need_no_more_sequences():
 
 
 def test_packed_pieces_are_the_tokenizers_ids(spark):
-    rows = cases.odd_rows() + [(90, "it's <|endoftext|> don't,x \x1c y\x85z é. Ünï? ΑΣ."), (91, "a" * 5000)]
+    rows = cases.odd_rows() + [(90, "it's <|endoftext|> don't,x \x1c y\x85z é. Ünï? ΑΣ."), (91, "a" * 5000), (92, "İ. x İİ, y ŉ? ẞ! ǰ. ΐ; İ")]
     got = packing.pack(packing.token_pieces(cases.with_clashes(spark, rows), TOKENIZER, 64, 0), 64).toPandas()
     encoder = Tokenizer.from_file(TOKENIZER)
     want = Counter()
