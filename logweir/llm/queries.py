@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweir.llm import queries_duplicates, queries_filters, queries_layout, queries_scores, registry  # noqa: F401
+from logweir.llm import queries_duplicates, queries_filters, queries_layout, queries_scores, queries_words, registry  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:
