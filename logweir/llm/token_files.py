@@ -15,13 +15,9 @@ names, are ignored.
 
 from __future__ import annotations
 
-import functools
-import os
-import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from logweir.llm import elias_fano
+from logweir.llm.cell_table import encoder
 from logweir.llm.common import stored
 from logweir.session import fresh_path
 
@@ -41,82 +38,6 @@ FILE_DOCS = 1 << 20
 READ_IDS = 1 << 20
 _FOOTER = struct.Struct("<QQqBQQ")  # documents, of these without an id, smallest id, bytes of an id, bytes of the two Elias-Fano parts
 
-# Cells: a blank or line end between other characters always starts a new piece for the byte-level tokenizer, and what stands before it has no
-# influence on what comes after; so a text is cut there and equal cells are encoded once.
-_CUTS = re.compile(r"(?<=\S)(?=[ \n]\S)")
-LONG_CELL = 64
-MARKS = ".,;:!?"
-
-
-def cells_of(text: str) -> list[str]:
-    """The text cut into cells: "\\r" and the first one, then each without its leading blank, or with its leading line end."""
-    cells = text.replace("\n", " \n").split(" ")
-    if text.split() != text.replace("\n", " ").split(" "):  # other white space, or several together
-        cells = [c[1:] if c[0] == " " and k else c for k, c in enumerate(_CUTS.split(text))]
-    cells[0] = "\r" + cells[0]
-    return cells
-
-
-def _spelled(cell: str) -> str:
-    return cell[1:] if cell[0] == "\r" else cell if cell[0] == "\n" else " " + cell
-
-
-class CellEncoder:
-    """Ids of texts under a byte-level tokenizer, as little-endian integers of two or four bytes.
-
-    Cells are remembered in two generations: when the younger one is full it becomes the older one, and cells that are met again move on.
-    """
-
-    def __init__(self, path: str, end_id: int, held: int = 300_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        top = max(end_id, *self.tokenizer.get_vocab(with_added_tokens=True).values())
-        self.type = np.dtype("<u2" if top < 1 << 16 else "<u4")
-        self.end = np.array([end_id], self.type).tobytes()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.held = held
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        kind = self.type.char
-        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[str]) -> None:
-        """Letters and the punctuation after them are always different pieces, so such cells are put together from both."""
-        parted = [(c, body, c[len(body) :]) for c in new if (body := c.rstrip(MARKS)) != c and body and "A" <= body[-1] < "\u0250" and body[-1].isalpha()]
-        words = {w for _, w, _ in parted}.difference(self.young)
-        words.update({c for c in new}.difference(c for c, _, _ in parted))
-        marks = {m for _, _, m in parted}
-        ids = dict(zip(marks, self._encoded(list(marks)), strict=True))
-        whole = list(words)
-        self.young.update(zip(whole, self._encoded([_spelled(c) for c in whole]), strict=True))
-        self.young.update([(c, self.young[w] + ids[m]) for c, w, m in parted])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [cells_of(t) if t else [] for t in texts]
-        met = set().union(*split)
-        wanted = met.difference(self.young)
-        if len(self.young) + len(wanted) > self.held:
-            self.old, self.young = self.young, {}
-            wanted = met
-        old = self.old
-        self.young.update([(c, old[c]) for c in wanted if c in old])
-        new = [c for c in wanted if c not in old]
-        self._learn(new)
-        out = [b"".join(map(self.young.__getitem__, cells)) + self.end for cells in split]
-        for c in new:
-            if len(c) > LONG_CELL:
-                del self.young[c]
-        return out
-
-
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str, end_id: int) -> CellEncoder:
-    """One encoder per worker, which the worker's later tasks use again."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return CellEncoder(path, end_id)
-
 
 class TokenWriter:
     """One file: ids are written as they come, the index when it is closed."""
@@ -127,23 +48,23 @@ class TokenWriter:
         self.name, self.type = f"{uuid.uuid4().hex}.ids", dtype
         self.out = store.open_output_stream(f"{root}/{self.name}", compression=None)
         self.out.write(MAGIC)
-        self.ends: list[int] = []
+        self.ends: list[np.ndarray] = []
         self.doc_ids: list[int | None] = []
         self.ids = 0
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        """``doc_id`` is not below that of the document before; null comes first."""
-        self.out.write(ids)
-        self.ids += len(ids) // self.type.itemsize
-        self.ends.append(self.ids)
-        self.doc_ids.append(doc_id)
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Documents whose ids end at ``ends`` in ``ids``; doc_ids ascend over all calls, null first."""
+        self.out.write(ids.tobytes())
+        self.ends.append(ends + self.ids)
+        self.ids += len(ids)
+        self.doc_ids += doc_ids
 
     def close(self) -> None:
         named = [d for d in self.doc_ids if d is not None]
         least = named[0] if named else 0
         names = elias_fano.packed(np.array([d - least for d in named], np.uint64))
-        ends = elias_fano.packed(np.array(self.ends, np.uint64))
-        footer = _FOOTER.pack(len(self.ends), len(self.ends) - len(named), least, self.type.itemsize, len(ends), len(names))
+        ends = elias_fano.packed(np.concatenate(self.ends).astype(np.uint64))
+        footer = _FOOTER.pack(len(self.doc_ids), len(self.doc_ids) - len(named), least, self.type.itemsize, len(ends), len(names))
         self.out.write(ends + names + footer + MAGIC)
         self.out.close()
 
@@ -200,22 +121,28 @@ def write_token_files(
     """Files of all documents in ascending doc_id order; gives their manifest (part, seq, file, documents, ids, start), stored."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, done, out = _encoder(tokenizer, end_id), TaskContext.get().partitionId(), [], None
+        encode, part, done, out = encoder(tokenizer, end_id), TaskContext.get().partitionId(), [], None
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), 128):
-                names = batch.column("doc_id")[at : at + 128].to_pylist()
-                for name, ids in zip(names, encoder.encode([t or "" for t in texts[at : at + 128]]), strict=True):
-                    if out is not None and (out.ids + len(ids) // encoder.type.itemsize > file_ids or len(out.ends) >= file_docs):
+            names = batch.column("doc_id").to_pylist()
+            for ids, ends in encode.encode([t or "" for t in batch.column("text").to_pylist()]):
+                mine, names = names[: len(ends)], names[len(ends) :]
+                doc = start = 0
+                while doc < len(ends):
+                    out = out or TokenWriter(folder, encode.type)
+                    fits = int(np.searchsorted(ends, start + file_ids - out.ids, "right"))
+                    after = min(fits, doc + file_docs - len(out.doc_ids))
+                    if after <= doc and out.doc_ids:
                         out.close()
                         done.append(out)
                         out = None
-                    out = out or TokenWriter(folder, encoder.type)
-                    out.add(name, ids)
+                        continue
+                    after = max(after, doc + 1)
+                    out.add(mine[doc:after], ids[start : ends[after - 1]], ends[doc:after] - start)
+                    doc, start = after, int(ends[after - 1])
         if out is not None:
             out.close()
             done.append(out)
-        rows = [{"part": part, "seq": k, "file": o.name, "documents": len(o.ends), "ids": o.ids} for k, o in enumerate(done)]
+        rows = [{"part": part, "seq": k, "file": o.name, "documents": len(o.doc_ids), "ids": o.ids} for k, o in enumerate(done)]
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_manifest_schema())
 

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from logweir.llm import elias_fano, token_files
+from logweir.llm import cell_table, elias_fano, token_files
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -92,4 +92,18 @@ def test_any_document_by_select(spark, tmp_path):
 
 def test_no_documents_no_files(spark):
     assert token_files.token_round_trip(cases.empty(spark), TOKENIZER).count() == 0
-    assert token_files.cells_of("a b\nc")[0] == "\ra"
+
+
+@pytest.mark.parametrize("name,end", [("byte_bpe_50k.json", 2), ("word_bpe_49k.json", 0)])
+def test_cells_give_the_tokenizers_ids(name, end):
+    encode = cell_table.CellEncoder(public_tokenizers.path(name), end)
+    texts = [*TRICKY, "", "..", " .", "\n.", "a.\n,b", "İ. x ŉ? ẞ! ǰ. ΐ; ÿ, ×. ÷, ñ.. 's. 'll, I'm", "", "x " * 300_000, "日" * 300 + " " + "w" * 700 + ", x"]
+    for c in map(chr, [*range(1, 0x180), *range(0x1680, 0x1690), *range(0x2000, 0x2070), 0x3000, 0x180E, 0xFEFF, 0x301, 0x1F600]):
+        texts += [f"ab {c}cd", f"ab{c} cd", f"ab\n{c}c d", f"a{c}\nb", f"{c}a b{c}. {c}", f"{c}, x"]
+    encode.held = 2000  # a generation a run
+    for _ in range(2):
+        at = iter(texts)
+        for ids, ends in encode.encode(texts):
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                assert ids[a:b].tolist() == [*encode.tokenizer.encode(next(at), add_special_tokens=False).ids, end]
+        assert next(at, None) is None
