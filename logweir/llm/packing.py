@@ -13,18 +13,13 @@ Null and empty texts have just the end token. Repeated rows are packed one by on
 from __future__ import annotations
 
 import bisect
-import functools
-import os
-import re
-import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from logweir.llm.cell_table import encoder
 from logweir.llm.common import carried, numbered, stored
 
 PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
@@ -32,91 +27,21 @@ RANK_ROWS = 1 << 17
 #: Rows of the plan above which it is joined by shuffle rather than sent to the tasks.
 PLAN_ROWS = 200_000
 
-_SPACES = re.compile(r"[ \t\n\r\x0b\x0c]+")
-#: Python splits at these as well, the tokenizer does not.
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
-
-
-class ChunkEncoder:
-    """Token ids of texts, as little-endian unsigned 32-bit integers.
-
-    The tokenizer splits at white space, so each white-space chunk is encoded once and remembered. It also parts letters
-    from the punctuation after them and lowers A-Z, so a new chunk that is a word with punctuation is put together from both.
-    """
-
-    def __init__(self, path: str, held: int = 400_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.held = held
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    @staticmethod
-    def _parts(chunk: str) -> tuple[str, ...]:
-        word = chunk.rstrip(".,;:!?")
-        # A letter whose lower case brings a mark along would join that mark with the punctuation.
-        if not word.isalpha() or not (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha()):
-            return (chunk,)
-        return tuple(filter(None, (word.lower() if word.isascii() else word, chunk[len(word) :])))
-
-    def _words(self, words: list[str]) -> None:
-        """Encodes words of letters many at a time; each ends with a token that ends a word."""
-        groups = [words[at : at + 1024] for at in range(0, len(words), 1024)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.asarray(e.ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(ends) != len(group):
-                self._singly(group)
-                continue
-            packed = ids.tobytes()
-            self.known.update(zip(group, map(packed.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-
-    def _singly(self, parts: list[str]) -> None:
-        for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            self.known[p] = array("I", e.ids).tobytes()
-
-    def _learn(self, chunks: set[str]) -> None:
-        new = {c: self._parts(c) for c in chunks}
-        parts = list({p for ps in new.values() for p in ps if p not in self.known})
-        self._words([p for p in parts if p.isalpha()])
-        self._singly([p for p in parts if not p.isalpha()])
-        for c, ps in new.items():
-            if c not in self.known:
-                self.known[c] = b"".join([self.known[p] for p in ps])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.held:
-            self.known.clear()
-        split = [_SPACES.split(t) if _SEPARATORS.search(t) else t.split() for t in texts]
-        self._learn(set().union(*split) - self.known.keys())
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in split]
-
-
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str) -> ChunkEncoder:
-    """One encoder per worker, which the worker's later tasks use again."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return ChunkEncoder(path)
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int = 0) -> DataFrame:
     """One row per piece of each document: where it starts in the document's ids, its length and the checksum of its ids."""
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(tokenizer)
+        encode = encoder(tokenizer, end_id)
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            rows = []
-            for at in range(0, len(texts), 256):
-                for doc_id, ids in zip(batch["doc_id"][at : at + 256], encoder.encode(texts[at : at + 256]), strict=True):
-                    ids = memoryview(ids + end)
-                    for k, start in enumerate(range(0, len(ids), 4 * most)):
-                        part = ids[start : start + 4 * most]
-                        rows.append((doc_id, k, start // 4, len(part) // 4, zlib.crc32(part)))
+            names, rows = iter(batch["doc_id"]), []
+            for ids, ends in encode.encode([t or "" for t in batch["text"]]):
+                whole, at = memoryview(ids.astype("<u4")).cast("B"), 0
+                for end in ends.tolist():
+                    name = next(names)
+                    for k, start in enumerate(range(at, end, most)):
+                        length = min(most, end - start)
+                        rows.append((name, k, start - at, length, zlib.crc32(whole[4 * start : 4 * (start + length)])))
+                    at = end
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return numbered(carried(docs, "doc_id").mapInPandas(cut, PIECES), "doc_id")
