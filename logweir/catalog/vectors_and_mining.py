@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from logweir.catalog import mining_sql as Q
 from logweir.catalog.base import register
-from logweir.catalog.sources_and_text import message_pairs
+from logweir.catalog.sources_and_text import PAIR_VIEW, PUNCT_SQL, message_pairs
 from logweir.catalog.windows_and_features import r6, split_sessions
 from logweir.detectors import boundary, clustering, forest, linear_space as L, supervised as SV
 from logweir.functions import text as T, vectors as VE
@@ -127,31 +128,31 @@ def tokenised_log(spark, sf, patterns=V.NUMBER_MASKS):
     return log.withColumn("tokens", T.tokenize_ws(F.col("masked")))
 
 
-@register("drain_templates")
+@register("drain_templates", "l1m", Q.drain_sql("hdfs_template", 5, 0.5) + Q.LINES)
 def drain_templates(spark, sf):
     mined = MI.drain_templates(tokenised_log(spark, sf, T.HDFS_MASKS), 5, 0.5)
     return mined.select("line_id", "cluster", F.array_join("cluster_template", " ").alias("template"))
 
 
-@register("drain_templates_exact")
+@register("drain_templates_exact", "l1m", Q.drain_sql("hdfs_template", 5, 0.5) + Q.LINES)
 def drain_templates_exact(spark, sf):
     mined = MI.drain_templates(tokenised_log(spark, sf, T.HDFS_MASKS), 5, 0.5, exact=True)
     return mined.select("line_id", "cluster", F.array_join("cluster_template", " ").alias("template"))
 
 
-@register("drain_templates_shallow")
+@register("drain_templates_shallow", "l1m", Q.drain_sql("template", 3, 0.3) + Q.LINES)
 def drain_templates_shallow(spark, sf):
     mined = MI.drain_templates(tokenised_log(spark, sf), 3, 0.3, 1000)
     return mined.select("line_id", "cluster", F.array_join("cluster_template", " ").alias("template"))
 
 
-@register("drain_result")
+@register("drain_result", "l1m", Q.drain_sql("hdfs_template", 5, 0.5) + Q.DICTIONARY)
 def drain_result(spark, sf):
     mined = MI.drain_templates(tokenised_log(spark, sf, T.HDFS_MASKS), 5, 0.5)
     return MI.mining_result(mined)[1].select("event_id", "event_template", "occurrences", "first_line")
 
 
-@register("drain_result_parameters")
+@register("drain_result_parameters", "l1m", Q.drain_sql("template", 3, 0.3) + Q.PARAMETERS)
 def drain_result_parameters(spark, sf):
     mined = MI.drain_templates(tokenised_log(spark, sf), 3, 0.3)
     lines, _ = MI.mining_result(mined, across_spaces=True)
@@ -159,17 +160,41 @@ def drain_result_parameters(spark, sf):
     return lines.select("line_id", "event_id", "template", F.array_join(params, "|").alias("params"))
 
 
-@register("spell_templates")
+def punctuated_log(spark, sf):
+    return tokenised_log(spark, sf, T.HDFS_MASKS).withColumn("tokens", T.tokenize_punct(F.col("masked")))
+
+
+SPELL_SQL = f"""SELECT line_no AS line_id, array_to_string(toks, '|') AS message, 1 AS in_order, 1 AS covered
+    FROM (SELECT line_no, {PUNCT_SQL.replace("msg", "hdfs_template")} AS toks FROM l1m)"""
+
+
+@register("spell_templates", "l1m", SPELL_SQL)
 def spell_templates(spark, sf):
-    log = tokenised_log(spark, sf, T.HDFS_MASKS).withColumn("tokens", T.tokenize_punct(F.col("masked")))
-    mined = MI.spell_templates(log, 0.5)
-    return mined.select("line_id", "cluster", F.array_join("cluster_template", " ").alias("template"))
+    """Each line against its template: the template's constants stand in the line in their order, and what both have in common covers half of the line."""
+    mined = MI.spell_templates(punctuated_log(spark, sf), 0.5)
+    one = F.struct(F.col("tokens"), F.filter("cluster_template", lambda t: t != T.WILDCARD).alias("constants"))
+
+    def found(acc, t):  # constants found so far
+        return acc + F.when(F.get(one["constants"], acc) == t, 1).otherwise(0)
+
+    in_order = F.aggregate("tokens", F.lit(0), found) == F.size(one["constants"])
+    shared = F.size(F.filter("cluster_template", lambda t: F.array_contains("tokens", t)))
+    return mined.select(
+        "line_id", F.array_join("tokens", "|").alias("message"), in_order.cast("int").alias("in_order"), (2 * shared >= F.size("tokens")).cast("int").alias("covered")
+    )
 
 
-@register("spell_result")
+@register("spell_result", "l1m", """SELECT count(*) AS lines, min(line_no) AS first_line, 1 AS ids_are_of_texts, 1 AS few, 1 AS no_text_twice FROM l1m""")
 def spell_result(spark, sf):
-    log = tokenised_log(spark, sf, T.HDFS_MASKS).withColumn("tokens", T.tokenize_punct(F.col("masked")))
-    return MI.mining_result(MI.spell_templates(log, 0.5), collapse=False)[1].select("event_id", "event_template", "occurrences", "first_line")
+    """The dictionary as a whole: all lines are counted once, under at most 15 templates."""
+    found = MI.mining_result(MI.spell_templates(punctuated_log(spark, sf), 0.5), collapse=False)[1]
+    return found.agg(
+        F.sum("occurrences").alias("lines"),
+        F.min("first_line").alias("first_line"),
+        F.min((F.col("event_id") == T.template_id(F.col("event_template"))).cast("int")).alias("ids_are_of_texts"),
+        (F.count(F.lit(1)) <= 15).cast("int").alias("few"),
+        (F.count(F.lit(1)) == F.count_distinct("event_template")).cast("int").alias("no_text_twice"),
+    )
 
 
 def masked_dictionary(spark, sf):
@@ -194,7 +219,7 @@ def match_templates(spark, sf):
     return found.select("line_no", "template_no", r6("similarity").alias("similarity"))
 
 
-@register("match_templates_lcs")
+@register("match_templates_lcs", "l1m", Q.MATCH_LCS)
 def match_templates_lcs(spark, sf):
     log = V.masked_log(spark, sf, T.HDFS_MASKS).select("line_no", T.tokenize_ws(F.col("template")).alias("tokens"))
     return M.match_templates_lcs(log, masked_dictionary(spark, sf), 0.5).select("line_no", "template_no", "common")
@@ -204,12 +229,12 @@ def message_subsequences(spark, sf):
     return message_pairs(spark, sf).withColumn("_s", M.common_subsequence("a", "b"))
 
 
-@register("lcs_tokens")
+@register("lcs_tokens", "d1t", f"{PAIR_VIEW}, {Q.SUBSEQUENCES} SELECT doc_id, line_pos, array_to_string(common, ' ') AS common FROM walked")
 def lcs_tokens(spark, sf):
     return message_subsequences(spark, sf).select("doc_id", "line_pos", F.array_join("_s.common", " ").alias("common"))
 
 
-@register("lcs_template")
+@register("lcs_template", "d1t", f"{PAIR_VIEW}, {Q.SUBSEQUENCES}, {Q.TEMPLATES}")
 def lcs_template(spark, sf):
     return message_subsequences(spark, sf).select("doc_id", "line_pos", F.array_join("_s.template", " ").alias("template"))
 

@@ -1,17 +1,14 @@
-"""Order-dependent template folds that run inside one bounded task and can be carried to the next.
+"""The order-dependent template fold, which runs inside one bounded task and can be carried to the next.
 
-Both fold a stream of token lists into clusters. A fold's whole state is a plain dictionary, so it can
-be stored between tasks.
+It folds a stream of token lists into clusters. Its whole state is a plain dictionary, so it can be stored between tasks.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Sequence
 
 import numpy as np
 
-from logweir.functions.lcs import lcs_length, lcs_template, lcs_tokens
 from logweir.functions.text import WILDCARD
 
 
@@ -20,17 +17,21 @@ class FixedDepthFold:
 
     A message is routed by its first ``levels`` tokens to a leaf; there it joins the cluster with the
     highest share of equal constant positions if that is at least ``st``, or founds a cluster. Tokens
-    with digits and tokens beyond ``max_child`` branches share the wildcard branch.
+    with digits and tokens beyond ``max_child`` branches share the wildcard branch. The first ``skip`` tokens are routed
+    already, and ``taken`` branches of the first node lead elsewhere. A cluster's name is that of the message that founded it.
     """
 
-    def __init__(self, levels: int, st: float, max_child: int, state: dict | None = None):
-        self.levels, self.st, self.max_child = levels, st, max_child
-        state = state or {"codes": {}, "words": [], "branches": {}, "leaves": {}, "size": 0}
+    def __init__(self, levels: int, st: float, max_child: int, state: dict | None = None, skip: int = 0, taken: int = 0):
+        self.levels, self.st, self.max_child, self.skip, self.taken = levels, st, max_child, skip, taken
+        state = state or {"codes": {}, "words": [], "branches": {}, "leaves": {}}
         self.codes, self.words = state["codes"], state["words"]
-        self.branches, self.leaves, self.size = state["branches"], state["leaves"], state["size"]
+        self.branches, self.leaves = state["branches"], state["leaves"]
+        # A message that is met again while nothing has changed joins the same cluster and changes nothing.
+        self.joined: dict[tuple, tuple[int, int]] = {}
+        self.changes = 0
 
     def state(self) -> dict:
-        return {"codes": self.codes, "words": self.words, "branches": self.branches, "leaves": self.leaves, "size": self.size}
+        return {"codes": self.codes, "words": self.words, "branches": self.branches, "leaves": self.leaves}
 
     def _code(self, tokens: Sequence[str]) -> np.ndarray:
         out = np.empty(len(tokens), dtype=np.int64)
@@ -46,7 +47,7 @@ class FixedDepthFold:
 
     def _route(self, tokens: Sequence[str], plant: bool) -> tuple | None:
         path: tuple = ()
-        for token in tokens[: self.levels]:
+        for token in tokens[self.skip : self.levels]:
             known = self.branches.setdefault(path, set()) if plant else self.branches.get(path, ())
             if token in known:
                 step = token
@@ -55,18 +56,27 @@ class FixedDepthFold:
                     return None
                 step = WILDCARD
             else:
-                step = self._new_branch(token, known)
+                step = self._new_branch(token, known, 0 if path else self.taken)
                 known.add(step)
             path += (step,)
         return path
 
-    def _new_branch(self, token: str, known: set) -> str:
+    def _new_branch(self, token: str, known: set, taken: int) -> str:
         if any(c.isdigit() for c in token):
             return WILDCARD
-        room = len(known) < self.max_child if WILDCARD in known else len(known) + 1 < self.max_child
+        branches = len(known) + taken
+        room = branches < self.max_child if WILDCARD in known else branches + 1 < self.max_child
         return token if room else WILDCARD
 
-    def add(self, tokens: Sequence[str]) -> int:
+    def add(self, tokens: Sequence[str], name: int) -> int:
+        key = tuple(tokens)
+        before = self.joined.get(key)
+        if before is None or before[0] != self.changes:
+            cluster = self._join(tokens, name)
+            self.joined[key] = before = (self.changes, cluster)
+        return before[1]
+
+    def _join(self, tokens: Sequence[str], name: int) -> int:
         row = self._code(tokens)
         leaf = self.leaves.get(self._route(tokens, plant=False))
         if leaf is not None:
@@ -75,71 +85,22 @@ class FixedDepthFold:
             rank = same * (len(tokens) + 1) + (grid == -1).sum(1)
             pick = int(rank.argmax())
             if same[pick] / len(tokens) >= self.st:
-                grid[pick] = np.where(grid[pick] == row, row, -1)
-                return leaf["ids"][pick]
-        leaf = self.leaves.setdefault(self._route(tokens, plant=True), {"grid": np.empty((4, len(tokens)), dtype=np.int64), "n": 0, "ids": []})
+                merged = np.where(grid[pick] == row, row, -1)
+                self.changes += bool((merged != grid[pick]).any())
+                grid[pick] = merged
+                return leaf["names"][pick]
+        leaf = self.leaves.setdefault(self._route(tokens, plant=True), {"grid": np.empty((4, len(tokens)), dtype=np.int64), "n": 0, "names": []})
         if leaf["n"] == len(leaf["grid"]):
             leaf["grid"] = np.concatenate([leaf["grid"], np.empty_like(leaf["grid"])])
         leaf["grid"][leaf["n"]] = row
         leaf["n"] += 1
-        leaf["ids"].append(self.size)
-        self.size += 1
-        return self.size - 1
+        leaf["names"].append(name)
+        self.changes += 1
+        return name
 
     def templates(self) -> dict[int, list[str]]:
         return {
             cluster: [WILDCARD if c < 0 else self.words[c] for c in row]
             for leaf in self.leaves.values()
-            for cluster, row in zip(leaf["ids"], leaf["grid"])
+            for cluster, row in zip(leaf["names"], leaf["grid"])
         }
-
-
-class SubsequenceFold:
-    """Clusters by common subsequence.
-
-    A message joins the template that has the longest common subsequence with it (then the shorter, then the
-    older template), if that covers ``tau`` of the message; the template then shrinks to what both have in common. Only templates that
-    share at least the part ``share`` of its tokens are compared; each token knows the templates that hold it.
-    """
-
-    def __init__(self, tau: float, state: dict | None = None, share: float = 0.5):
-        self.tau, self.share = tau, share
-        self.rows: list[list[str]] = []
-        self.holders: dict[str, set[int]] = defaultdict(set)
-        for template in (state or {"templates": []})["templates"]:
-            self._set(len(self.rows), template)
-
-    def state(self) -> dict:
-        return {"templates": self.rows}
-
-    def _set(self, cluster: int, template: list[str]) -> None:
-        if cluster == len(self.rows):
-            self.rows.append([])
-        for token in set(self.rows[cluster]) - set(template):
-            self.holders[token].discard(cluster)
-        for token in set(template) - {WILDCARD}:
-            self.holders[token].add(cluster)
-        self.rows[cluster] = template
-
-    def _best(self, tokens: list[str]) -> tuple[int, int, int] | None:
-        """(length in common, minus the template's length, minus its number) of the best template."""
-        shared = Counter(c for t in set(tokens) for c in self.holders.get(t, ()))
-        near = [c for c, n in shared.items() if n >= self.share * len(tokens)]
-        constants = [t for t in tokens if t != WILDCARD]
-        return max(((lcs_length(constants, self.rows[c]), -len(self.rows[c]), -c) for c in near), default=None)
-
-    def add(self, tokens: Sequence[str]) -> int:
-        tokens = list(tokens)
-        best = self._best(tokens)
-        if best is None or best[0] < self.tau * len(tokens):
-            self._set(len(self.rows), tokens)
-            return len(self.rows) - 1
-        cluster = -best[2]
-        template = self.rows[cluster]
-        if best[0] < sum(t != WILDCARD for t in template):
-            constants = [t for t in tokens if t != WILDCARD]
-            self._set(cluster, lcs_template(lcs_tokens(constants, template), template))
-        return cluster
-
-    def templates(self) -> dict[int, list[str]]:
-        return dict(enumerate(self.rows))

@@ -30,6 +30,11 @@ def lcs_length(a: Sequence[str], b: Sequence[str]) -> int:
 
 def lcs_tokens(a: Sequence[str], b: Sequence[str]) -> list[str]:
     """The subsequence itself; on ties the walk back shortens ``a`` first, then ``b``."""
+    return [b[j] for j in lcs_places(a, b)]
+
+
+def lcs_places(a: Sequence[str], b: Sequence[str]) -> list[int]:
+    """Where the tokens of the subsequence stand in ``b``."""
     rows = _rows(a, b)
 
     def length(i: int, j: int) -> int:
@@ -43,7 +48,7 @@ def lcs_tokens(a: Sequence[str], b: Sequence[str]) -> list[str]:
         elif rows[i] >> (j - 1) & 1:
             j -= 1
         else:
-            out.append(a[i - 1])
+            out.append(j - 1)
             i, j, here = i - 1, j - 1, here - 1
     return out[::-1]
 

@@ -1,141 +1,91 @@
 """Best match against a dictionary: templates by equal positions or subsequence, vectors by angle.
 
-The dictionary travels to the tasks in chunks of a fixed size and each chunk's best match is folded
-into one column, so the dictionary may be of any size and the facts are never shuffled.
+A dictionary of templates is a DataFrame of any size. An index of its rarest parts finds the candidates of each distinct message by
+join, and only these are compared, so neither messages nor templates pass the driver. Representatives travel to the tasks in chunks of a fixed size.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from logweir.functions.lcs import lcs_length, lcs_template, lcs_tokens
+from logweir.functions.lcs import lcs_template, lcs_tokens
 from logweir.functions.text import WILDCARD
 from logweir.functions.vectors import TINY
+from logweir.operators.ordering import lookup
+from logweir.operators.overlaps import common_length, sharing, token_key
+from logweir.session import materialise
 
-TEMPLATE_CHUNK = 20_000
 VECTOR_CHUNK = 4_096
 
 
-def _chunks(dictionary: DataFrame, order: str, columns: list[str], chunk: int) -> Iterator[list]:
-    """Dictionary rows in order, one bounded piece at a time."""
-    last = dictionary.agg(F.max(order)).first()[0]
-    for start in range(0, 0 if last is None else last + 1, chunk):
-        part = dictionary.where((F.col(order) >= start) & (F.col(order) < start + chunk))
-        yield part.select(order, *columns).orderBy(order).collect()
-
-
 def _fold(found: list[Column], none_type: str) -> Column:
     if not found:
         return F.lit(None).cast(none_type)
     return found[0] if len(found) == 1 else F.greatest(*found)
 
 
-MATCH = "struct<similarity:double,preference:bigint,neg_order:bigint>"
-
-
-def _position_matcher(rows: list, st: float):
-    """Best same-length template by equal constant positions, then more wildcards, then earlier."""
-    by_length = defaultdict(list)
-    for order, tokens in rows:
-        by_length[len(tokens)].append((order, tokens))
-    codes: dict[str, int] = {}
-    tables = {}
-    for length, group in by_length.items():
-        if length:
-            grid = np.array([[-1 if t == WILDCARD else codes.setdefault(t, len(codes)) for t in toks] for _, toks in group])
-            tables[length] = (grid, (grid == -1).sum(1), np.array([o for o, _ in group]))
-
-    @F.pandas_udf(MATCH)
-    def best(tokens: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"similarity": np.full(len(tokens), np.nan), "preference": 0, "neg_order": 0})
-        lengths = tokens.map(len).to_numpy()
-        for length in np.unique(lengths):
-            if length not in tables:
-                continue
-            grid, wild, orders = tables[length]
-            at = np.flatnonzero(lengths == length)
-            step = max(1, 4_000_000 // grid.size)
-            for i in range(0, len(at), step):
-                rows_at = at[i : i + step]
-                coded = np.array([[codes.get(t, -2) for t in tokens.iloc[j]] for j in rows_at])
-                same = (coded[:, None, :] == grid[None, :, :]).sum(2)
-                score = same * (length + 1) + wild[None, :]
-                pick = score.argmax(1)
-                sim = same[np.arange(len(rows_at)), pick] / length
-                ok = sim >= st
-                out.loc[rows_at[ok], "similarity"] = sim[ok]
-                out.loc[rows_at[ok], "preference"] = wild[pick[ok]]
-                out.loc[rows_at[ok], "neg_order"] = -orders[pick[ok]]
-        return out
+def _distinct_messages(messages: DataFrame, tokens: str) -> tuple[DataFrame, DataFrame]:
+    """The messages with the key of their tokens, and each key once with its tokens, stored."""
+    keyed = messages.withColumn("_key", token_key(F.col(tokens)))
+    once = keyed.where(F.size(tokens) > 0).groupBy(F.col("_key").alias("id")).agg(F.first(tokens).alias("tokens"))
+    return keyed, once
 
-    return best
 
+def _placed(tokens: Column) -> Column:
+    """Constants with their places and the number of tokens: what two lists of one length have in common at equal places."""
+    n = F.size(tokens).cast("string")
+    parts = F.transform(tokens, lambda t, i: F.when(t != WILDCARD, F.concat_ws(" ", n, i.cast("string"), t)))
+    return F.filter(parts, lambda p: p.isNotNull())
 
-def match_templates(messages: DataFrame, dictionary: DataFrame, st: float, tokens: str = "tokens", order: str = "template_no", chunk: int = TEMPLATE_CHUNK) -> DataFrame:
-    """Add ``template_no`` and ``similarity`` of the best template (NULL below ``st``).
 
-    ``dictionary``: ``template_no`` 0..n-1 in order of preference, ``template`` as a token array.
-    """
-    found = [_position_matcher(rows, st)(F.col(tokens)) for rows in _chunks(dictionary, order, ["template"], chunk)]
-    # A chunk without a match has a NULL or NaN similarity; it must not win the comparison.
-    clean = [F.when(f["similarity"] >= 0, F.when(~F.isnan(f["similarity"]), f)) for f in found]
-    return messages.withColumn("_m", _fold(clean, MATCH)).select(
-        *messages.columns, (-F.col("_m.neg_order")).alias(order), F.col("_m.similarity").alias("similarity")
-    )
+def _with_best(keyed: DataFrame, best: DataFrame, columns: list[str]) -> DataFrame:
+    found = materialise(best)
+    joined = lookup(keyed, found.withColumnRenamed("id", "_key"), ["_key"], rows=found.count())
+    return joined.select(*[c for c in keyed.columns if c != "_key"], *columns)
 
 
-SUBSEQUENCE_MATCH = "struct<common:bigint,neg_length:bigint,neg_order:bigint>"
-
-
-def _subsequence_matcher(rows: list, tau: float, share: float):
-    holders = defaultdict(list)
-    templates = [tokens for _, tokens in rows]
-    orders = [order for order, _ in rows]
-    for i, toks in enumerate(templates):
-        for t in set(toks):
-            holders[t].append(i)
-
-    @F.pandas_udf(SUBSEQUENCE_MATCH)
-    def best(tokens: pd.Series) -> pd.DataFrame:
-        picks = []
-        memo: dict[tuple, tuple | None] = {}
-        for toks in tokens:
-            key = tuple(toks)
-            if key not in memo:
-                shared = defaultdict(int)
-                for t in set(key):
-                    for i in holders.get(t, ()):
-                        shared[i] += 1
-                top = None
-                for i in sorted(shared):
-                    if shared[i] >= share * len(key):
-                        entry = (lcs_length(key, templates[i]), -len(templates[i]), -orders[i])
-                        top = entry if top is None or entry > top else top
-                memo[key] = top if top and top[0] >= tau * len(key) else None
-            picks.append(memo[key] or (None, None, None))
-        return pd.DataFrame(picks, columns=["common", "neg_length", "neg_order"]).astype("Int64")
-
-    return best
-
+def match_templates(messages: DataFrame, dictionary: DataFrame, st: float, tokens: str = "tokens", order: str = "template_no") -> DataFrame:
+    """Add ``template_no`` and ``similarity`` of the best template (NULL below ``st``).
 
-def match_templates_lcs(
-    messages: DataFrame, dictionary: DataFrame, tau: float, share: float = 0.5, tokens: str = "tokens", order: str = "template_no", chunk: int = TEMPLATE_CHUNK
-) -> DataFrame:
+    ``dictionary``: ``template_no`` in order of preference, ``template`` as a token array. The best template has the message's number of tokens, the
+    largest share of equal constants, then more wildcards, then comes first. A message needs ``st`` of its tokens in common with a
+    template, so it is looked up under its rarest (length, place, token) entries only, as many as a match cannot all miss.
+    """
+    keyed, once = _distinct_messages(messages, tokens)
+    wild = lambda t: F.size(F.filter(t, lambda x: x == WILDCARD))
+    left = materialise(once.withColumn("elements", _placed(F.col("tokens"))))
+    right = dictionary.select(F.col(order).alias("id"), F.col("template").alias("tokens"), _placed(F.col("template")).alias("elements"))
+    n = F.size("l.tokens")
+    need = F.greatest(F.lit(1), F.ceil(F.size("tokens") * F.lit(float(st)) - F.lit(1e-9)))
+    met = sharing(left, materialise(right), need, F.col("shared") / n >= F.lit(float(st)))
+    found = [met.select(F.col("l.id").alias("id"), (F.size(F.array_intersect("l.elements", "r.elements")) / n).alias("s"), wild(F.col("r.tokens")).alias("w"), F.col("r.id").alias("no"))]
+    if st <= 0:  # templates of the right length match without a constant in common
+        size = F.size("template").alias("size")
+        first = dictionary.groupBy(size, wild(F.col("template")).alias("w")).agg(F.min(order).alias("no")).groupBy("size").agg(F.max_by("no", "w").alias("no"), F.max("w").alias("w"))
+        found.append(left.join(first, F.size("tokens") == F.col("size")).select("id", F.lit(0.0).alias("s"), "w", "no"))
+    best = F.max(F.struct("s", "w", (-F.col("no")).alias("minus"))).alias("m")
+    every = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    matched = every.groupBy("id").agg(best).select("id", (-F.col("m.minus")).alias(order), F.col("m.s").alias("similarity"))
+    return _with_best(keyed, matched, [order, "similarity"])
+
+
+def match_templates_lcs(messages: DataFrame, dictionary: DataFrame, tau: float, share: float = 0.5, tokens: str = "tokens", order: str = "template_no") -> DataFrame:
     """Add the template with the longest common subsequence of at least ``tau`` of the message.
 
-    Templates sharing under ``share`` of the message's token count are not tried; on equal lengths the
-    shorter template wins, then the earlier one.
+    Templates that have fewer different tokens in common with the message than ``share`` of its token count are not tried; on equal lengths the
+    shorter template wins, then the earlier one. Candidates come from the message's tokens that are rarest in the dictionary.
     """
-    found = [_subsequence_matcher(rows, tau, share)(F.col(tokens)) for rows in _chunks(dictionary, order, ["template"], chunk)]
-    clean = [F.when(f["common"].isNotNull(), f) for f in found]
-    return messages.withColumn("_m", _fold(clean, SUBSEQUENCE_MATCH)).select(
-        *messages.columns, (-F.col("_m.neg_order")).alias(order), F.col("_m.common").alias("common")
-    )
+    keyed, once = _distinct_messages(messages, tokens)
+    left = materialise(once.withColumn("elements", F.array_distinct("tokens")))
+    right = materialise(dictionary.select(F.col(order).alias("id"), F.col("template").alias("tokens"), F.array_distinct("template").alias("elements")))
+    need = F.greatest(F.lit(1), F.ceil(F.size("tokens") * F.lit(float(share)) - F.lit(1e-9)))
+    n = F.size("l.tokens")
+    met = sharing(left, right, need, F.col("shared") >= n * F.lit(float(share))).withColumn("common", common_length("l.tokens", "r.tokens"))
+    best = F.max(F.struct("common", (-F.size("r.tokens")).alias("shorter"), (-F.col("r.id")).alias("minus"))).alias("m")
+    matched = met.where(F.col("common") >= n * F.lit(float(tau))).groupBy(F.col("l.id").alias("id")).agg(best)
+    return _with_best(keyed, matched.select("id", (-F.col("m.minus")).alias(order), F.col("m.common").alias("common")), [order, "common"])
 
 
 def _angle_matcher(matrix: np.ndarray, first: int):

@@ -1,60 +1,113 @@
-"""Template mining as Spark jobs.
+"""Template mining by a tree of fixed depth, as Spark jobs, and the dictionary of mined templates.
 
-Lines are first reduced to distinct messages; only those enter the order-dependent fold. The fold
-works on blocks of at most ``block_messages`` messages. Blocks of one group run in line order, each
-starting from the state its predecessor stored; different groups run side by side.
+Which branch of the tree a message takes is settled for all messages at once, level by level, from the lines in which tokens are first seen
+(``leaf_units``). What remains order-dependent, the clusters of one leaf, is folded per leaf in blocks of at most ``block_messages`` lines: the blocks of a leaf run in line order,
+each starting from the state its predecessor stored; different leaves run side by side.
 """
 
 from __future__ import annotations
 
+import functools
 import pickle
-from collections.abc import Callable
+import re
+import sys
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from logweir.functions.folds import FixedDepthFold, SubsequenceFold
+from logweir.functions.folds import FixedDepthFold
 from logweir.functions.text import WILDCARD, collapse_wildcards, template_id
 from logweir.operators.dictionaries import template_occurrences
 from logweir.operators.ordering import dense_position, lookup
+from logweir.operators.subsequences import spell_templates  # noqa: F401
 from logweir.session import materialise
 
 BLOCK_MESSAGES = 100_000
-KEY_TOKENS = 3
-PARTS = 64
-FOLDED = "grp bigint, msg_id bigint, cluster int, template array<string>, state binary"
+FOLDED = "grp string, msg_id bigint, cluster bigint, template array<string>, state binary"
 
 
-def carry_fold(messages: DataFrame, make: Callable, block_messages: int = BLOCK_MESSAGES) -> tuple[DataFrame, DataFrame]:
-    """Fold ``grp, msg_id, tokens`` in ``msg_id`` order per group.
+@functools.cache
+def _digits() -> str:
+    """A pattern for the characters that Python counts as digits: the decimal ones and those of other number systems."""
+    others = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isdigit() and not c.isdecimal()]
+    return r"[\p{Nd}" + "".join(map(re.escape, others)) + "]"
 
-    Returns ``(grp, msg_id, cluster)`` and ``(grp, cluster, template)``. ``make(state)`` builds a fold.
-    """
 
+def leaf_units(messages: DataFrame, levels: int, max_child: int) -> DataFrame:
+    """``n, head, grp, skip, taken`` for each token count and first ``levels`` tokens of ``msg_id, n, head``.
+
+    At a node of the tree, a token without digits has a branch of its own if it is seen before any token with digits or wildcard and before
+    the branches are used up; nothing that comes later changes its way. All other tokens share the wildcard branch, if none of them could
+    still get a branch of its own. Where one could, these messages meet in one leaf or the other depending on earlier clusters, so they
+    stay together in one unit from this node on, which knows how many branches are ``taken`` by others.
+    """
+    none = F.array().cast("array<string>")
+    heads = messages.groupBy("n", "head").agg(F.min("msg_id").alias("first"))
+    units = materialise(heads.select("n", "head", "first", none.alias("path"), F.lit(levels).alias("skip"), F.lit(0).alias("taken")))
+    for level in range(levels):
+        token = F.element_at("head", level + 1)
+        at = units.where(F.col("skip") == levels).withColumn("token", token)
+        wild = (F.col("token") == WILDCARD) | F.col("token").rlike(_digits())
+        tokens = materialise(at.groupBy("n", "path", "token").agg(F.min("first").alias("first")).withColumn("wild", wild))
+        in_order = F.row_number().over(Window.partitionBy("n", "path").orderBy("first"))
+        plain = tokens.where(~F.col("wild")).withColumn("rank", in_order).where(F.col("rank") <= max(1, max_child))
+        end = F.min(F.when(F.col("wild") | (F.col("rank") >= max_child), F.col("first"))).alias("end")
+        ends = tokens.where("wild").withColumn("rank", F.lit(0)).unionByName(plain).groupBy("n", "path").agg(end)
+        own = materialise(
+            plain.join(ends, ["n", "path"]).where((F.col("rank") < max_child) & (F.col("end").isNull() | (F.col("first") < F.col("end")))).select("n", "path", "token")
+        )
+        late = tokens.where(~F.col("wild")).join(own, ["n", "path", "token"], "left_anti").select("n", "path").distinct()
+        own_counts = own.groupBy("n", "path").agg(F.count(F.lit(1)).cast("int").alias("own_branches"))
+        marked = (
+            units.withColumn("token", token)
+            .join(own.withColumn("own", F.lit(True)), ["n", "path", "token"], "left")
+            .join(late.withColumn("late", F.lit(True)), ["n", "path"], "left")
+            .join(own_counts, ["n", "path"], "left")
+        )
+        going, mixed = F.col("skip") == levels, F.col("own").isNull() & F.col("late").isNotNull()
+        step = F.when(F.col("own").isNotNull(), F.col("token")).otherwise(F.lit(WILDCARD))
+        units = materialise(
+            marked.select(
+                "n",
+                "head",
+                "first",
+                F.when(going & ~mixed, F.concat("path", F.array(step))).otherwise(F.col("path")).alias("path"),
+                F.when(going & mixed, F.lit(level)).otherwise(F.col("skip")).alias("skip"),
+                F.when(going & mixed, F.coalesce("own_branches", F.lit(0))).otherwise(F.col("taken")).alias("taken"),
+            )
+        )
+    return units.select("n", "head", F.to_json(F.struct("n", "skip", "path")).alias("grp"), "skip", "taken")
+
+
+def fold_units(messages: DataFrame, levels: int, st: float, max_child: int, block_messages: int = BLOCK_MESSAGES) -> tuple[DataFrame, DataFrame]:
+    """Fold ``grp, skip, taken, msg_id, tokens`` in ``msg_id`` order per unit.
+
+    Returns ``(grp, msg_id, cluster)`` and ``(grp, cluster, template)``; a cluster is named by the message that founded it.
+    """
     largest = messages.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
     rounds = -(-largest // block_messages)
+    columns = ["grp", "msg_id", "cluster", "template", "state"]
 
-    def run(pdf: pd.DataFrame, grp: int, stored: bytes | None) -> pd.DataFrame:
-        fold = make(pickle.loads(stored) if stored is not None else None)
+    def run(pdf: pd.DataFrame, grp: str, stored: bytes | None) -> pd.DataFrame:
+        state = pickle.loads(stored) if stored is not None else None
+        fold = FixedDepthFold(levels, st, max_child, state, int(pdf["skip"].iloc[0]), int(pdf["taken"].iloc[0]))
         pdf = pdf.sort_values("msg_id")
-        joined = [fold.add(t) for t in pdf["tokens"]]
+        names = pdf["msg_id"].tolist()
+        joined = [fold.add(tokens, name) for tokens, name in zip(pdf["tokens"], names)]
         found = fold.templates()
-        parts = [
-            pd.DataFrame({"grp": grp, "msg_id": pdf["msg_id"].astype("Int64").array, "cluster": joined}),
-            pd.DataFrame({"grp": grp, "msg_id": pd.array([None] * len(found), "Int64"), "cluster": list(found), "template": list(found.values())}),
-        ]
+        rows = [(grp, m, c, None, None) for m, c in zip(names, joined)]
+        rows += [(grp, None, c, template, None) for c, template in found.items()]
         if rounds > 1:
-            parts.append(pd.DataFrame({"grp": [grp], "msg_id": pd.array([None], "Int64"), "state": [pickle.dumps(fold.state())]}))
-        out = pd.concat(parts, ignore_index=True).reindex(columns=["grp", "msg_id", "cluster", "template", "state"])
-        return out.astype({"msg_id": "Int64", "cluster": "Int64"}).astype(object).where(lambda d: d.notna(), None)
+            rows.append((grp, None, None, None, pickle.dumps(fold.state())))
+        return pd.DataFrame(rows, columns=columns, dtype=object)
 
     def first(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return run(pdf, key[0], None)
 
     def later(key: tuple, before: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
-            return pd.DataFrame(columns=["grp", "msg_id", "cluster", "template", "state"])
+            return pd.DataFrame(columns=columns)
         return run(pdf, key[0], None if before.empty else before["state"].iloc[0])
 
     if rounds <= 1:
@@ -63,15 +116,14 @@ def carry_fold(messages: DataFrame, make: Callable, block_messages: int = BLOCK_
         placed = materialise(dense_position(messages, ["msg_id"], ["grp"], "_at"))
         outputs = []
         for r in range(rounds):
-            block = placed.where(F.floor(F.col("_at") / block_messages) == r).select("grp", "msg_id", "tokens")
+            block = placed.where(F.floor(F.col("_at") / block_messages) == r).select(*messages.columns)
             if r == 0:
                 out = block.groupBy("grp").applyInPandas(first, FOLDED)
             else:
                 state = outputs[-1].where(F.col("state").isNotNull()).select("grp", "state")
                 out = state.groupBy("grp").cogroup(block.groupBy("grp")).applyInPandas(later, FOLDED)
             outputs.append(materialise(out))
-    tagged = [o.withColumn("_round", F.lit(i)) for i, o in enumerate(outputs)]
-    everything = reduce(DataFrame.unionByName, tagged)
+    everything = reduce(DataFrame.unionByName, [o.withColumn("_round", F.lit(i)) for i, o in enumerate(outputs)])
     members = everything.where(F.col("msg_id").isNotNull()).select("grp", "msg_id", "cluster")
     templates = (
         everything.where(F.col("template").isNotNull()).groupBy("grp", "cluster").agg(F.max_by("template", "_round").alias("template"))
@@ -79,81 +131,42 @@ def carry_fold(messages: DataFrame, make: Callable, block_messages: int = BLOCK_
     return members, templates
 
 
-def _distinct(lines: DataFrame, line: str, exact: bool) -> DataFrame:
-    if exact:
-        return lines.select("tokens", F.col(line).alias("msg_id"))
-    return lines.groupBy("tokens").agg(F.min(line).alias("msg_id"))
-
-
 def drain_templates(
     lines: DataFrame,
     depth: int,
     st: float,
     max_child: int = 100,
     line: str = "line_id",
-    exact: bool = False,
+    exact: bool = True,
     block_messages: int = BLOCK_MESSAGES,
 ) -> DataFrame:
-    """Add ``cluster`` and ``cluster_template`` (token array) to lines with a ``tokens`` column.
+    """Add ``cluster`` (the line that founded it, as text) and ``cluster_template`` (token array) to lines with a ``tokens`` column.
 
-    Groups are token counts: a message only ever meets templates of its own length. ``exact`` folds
-    every line instead of the distinct messages; a repeated message may then move to a better cluster
-    founded later. Messages with fewer than ``depth - 2`` tokens never merge and keep their own text.
+    The result is that of folding all lines in order. With ``exact=False`` only the first line of each distinct message is folded, which is
+    less work; a repeated message may then miss a better cluster founded after its first line. Messages with fewer than ``depth - 2`` tokens
+    never merge and keep their own text.
     """
-    levels = depth - 3
-    sized = lines.withColumn("_n", F.size("tokens").cast("bigint"))
+    levels = max(0, depth - 3)
+    sized = lines.withColumns({"_n": F.size("tokens").cast("bigint"), "_head": F.slice("tokens", 1, levels) if levels else F.array().cast("array<string>")})
     long = sized.where(F.col("_n") >= max(depth - 2, 1))
-    messages = materialise(_distinct(long, line, exact).select(F.size("tokens").cast("bigint").alias("grp"), "msg_id", "tokens"))
-    members, templates = carry_fold(messages, lambda state: FixedDepthFold(levels, st, max_child, state), block_messages)
+    if exact:
+        messages = long.select(F.col(line).alias("msg_id"), F.col("_n").alias("n"), F.col("_head").alias("head"), "tokens")
+    else:
+        messages = long.groupBy("tokens", F.col("_n").alias("n"), F.col("_head").alias("head")).agg(F.min(line).alias("msg_id"))
+    messages = materialise(messages)
+    units = leaf_units(messages, levels, max_child)
+    placed = materialise(lookup(messages, units, ["n", "head"], "inner").select("grp", "skip", "taken", "msg_id", "tokens"))
+    members, templates = fold_units(placed, levels, st, max_child, block_messages)
     named = lookup(members, templates, ["grp", "cluster"], "inner").select(
-        "msg_id", F.concat_ws("-", "grp", "cluster").alias("cluster"), F.col("template").alias("cluster_template")
+        "msg_id", F.col("cluster").cast("string").alias("cluster"), F.col("template").alias("cluster_template")
     )
-    named = materialise(named if exact else messages.select("msg_id", "tokens").join(named, "msg_id").drop("msg_id"))
     if exact:
         out = sized.join(named.withColumnRenamed("msg_id", line), line, "left")
     else:
-        out = lookup(sized, named, ["tokens"])
-    own = F.concat(F.lit("own-"), F.col(line).cast("string"))
+        out = lookup(sized, placed.select("msg_id", "tokens").join(named, "msg_id").drop("msg_id"), ["tokens"])
     return out.withColumns(
-        {"cluster": F.coalesce("cluster", own), "cluster_template": F.coalesce("cluster_template", "tokens")}
-    ).drop("_n")
-
-
-def _common_tokens(messages: DataFrame) -> DataFrame:
-    """``msg_id, key``: the message's ``KEY_TOKENS`` tokens that most messages hold."""
-    tokens = messages.select("msg_id", F.explode(F.array_distinct(F.filter("tokens", lambda t: t != WILDCARD))).alias("token"))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tokens.join(counts, "token").groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("df")).alias("df"), "token"))).alias("t"))
-    top = F.array_sort(F.transform(F.slice("t", 1, KEY_TOKENS), lambda t: t["token"]))
-    return ranked.select("msg_id", top.alias("key"))
-
-
-def _fold_groups(messages: DataFrame, tau: float, block_messages: int) -> DataFrame:
-    """``grp, msg_id, template`` for rows ``grp, msg_id, tokens``."""
-    members, templates = carry_fold(messages, lambda state: SubsequenceFold(tau, state), block_messages)
-    return members.join(templates, ["grp", "cluster"]).select("grp", "msg_id", "template")
-
-
-def spell_templates(lines: DataFrame, tau: float, line: str = "line_id", block_messages: int = BLOCK_MESSAGES) -> DataFrame:
-    """Add ``cluster`` and ``cluster_template`` to lines with a ``tokens`` column, by common subsequence.
-
-    One definition for every size, in which only contents count: distinct messages are grouped by their most
-    common tokens and ``PARTS`` parts of their hash, and each group is folded in the order of the hashes. The templates found are
-    folded as messages in turn, first per group of common tokens, then all together. ``block_messages`` only bounds what a task takes
-    at once: the blocks of a group carry its state on.
-    """
-    named = lines.select(F.xxhash64("tokens").alias("msg_id"), "tokens").dropDuplicates(["msg_id"])
-    messages = materialise(named)
-    keyed = messages.join(_common_tokens(messages), "msg_id", "left").withColumn("key", F.xxhash64("key"))
-    parts = keyed.withColumn("grp", F.xxhash64("key", F.pmod("msg_id", F.lit(PARTS))))
-    found = materialise(_fold_groups(parts.select("grp", "msg_id", "tokens"), tau, block_messages).join(keyed.select("msg_id", "key"), "msg_id"))
-    for group in (F.col("key"), F.lit(0).cast("bigint")):
-        now = found.withColumn("grp", group).withColumn("template_id", F.xxhash64("template"))
-        again = now.select("grp", F.col("template_id").alias("msg_id"), F.col("template").alias("tokens")).dropDuplicates(["grp", "msg_id"])
-        merged = _fold_groups(materialise(again), tau, block_messages).select("grp", F.col("msg_id").alias("template_id"), F.col("template").alias("merged"))
-        found = materialise(now.join(merged, ["grp", "template_id"]).select("msg_id", "key", F.col("merged").alias("template")))
-    result = found.select("msg_id", F.hex(F.xxhash64("template")).alias("cluster"), F.col("template").alias("cluster_template"))
-    return lookup(lines.withColumn("msg_id", F.xxhash64("tokens")), result, ["msg_id"]).drop("msg_id")
+        {"cluster": F.coalesce("cluster", F.col(line).cast("string")), "cluster_template": F.coalesce("cluster_template", "tokens")}
+    ).drop("_n", "_head")
 
 
 def mining_result(mined: DataFrame, line: str = "line_id", collapse: bool = True, across_spaces: bool = False) -> tuple[DataFrame, DataFrame]:

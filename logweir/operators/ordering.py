@@ -223,7 +223,7 @@ def lookup(
     on = list(on)
     if rows is None:
         table = materialise(table)
-        n, most = table.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        n, most = table.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
         if most > 1:
             raise ValueError(f"the dictionary has several rows for one value of {on}")
     else:
