@@ -1,7 +1,8 @@
 """Line dedup by content-defined chunks: runs of lines that occur in several places stay in the first place only.
 
 Native DataFrame code. A rolling hash over the hashes of the last two lines chooses chunk ends, so that a shared passage is cut
-alike wherever it stands. Chunks of at least two lines (and with a word) are counted over all documents by a 128-bit hash. Of a
+alike wherever it stands. An end is skipped where the chunk would have one line only, and a single last line belongs to the chunk before, so that
+every line of a text of several lines is in a chunk that can be removed: a copy loses all of them. Chunks with a word are counted over all documents by a 128-bit hash. Of a
 repeated chunk the occurrence with the smallest id (then text hash, then line) is kept and the others are marked; the
 marks join their documents once, and the bytes of equally hashed chunks are compared before anything is removed: a hash
 with two different contents is left alone.
@@ -18,6 +19,7 @@ from logweir.functions.binding import let
 from logweir.llm.common import WORD, stored
 
 MODULUS = 3
+MIXER = 40_503
 
 
 def line_hash(line: Column) -> Column:
@@ -25,14 +27,23 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def roll(before: Column, here: Column) -> Column:
+    """16 bits that depend on all bits of the hashes of a line and the one before it."""
+    low = F.lit(1 << 32)
+    return F.shiftright((before * 31 + here) % low * MIXER % low, 16)
+
+
 def chunks(text: Column, modulus: int = MODULUS) -> Column:
     """Array of (start line, lines, hash) of the chunks that can be removed."""
 
     def ends(hashes: Column) -> Column:
-        roll = lambda h, i: (F.coalesce(F.get(hashes, i - 1), F.lit(0)) * 31 + h) % modulus
         last = F.size(hashes) - 1
-        marks = F.transform(hashes, lambda h, i: F.when((roll(h, i) == 0) | (i == last), i))
-        return F.filter(marks, lambda i: i.isNotNull())
+        rolled = F.transform(hashes, lambda h, i: F.when(roll(F.coalesce(F.get(hashes, i - 1), F.lit(0)), h) % modulus == 0, i))
+        inner = F.filter(rolled, lambda i: (i > 0) & (i < last - 1))
+        none = F.array().cast("array<int>")
+        # Two lines at least since the last end.
+        apart = lambda found, i: F.when(i - F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(-1)) < 2, found).otherwise(F.concat(found, F.array(i)))
+        return F.concat(F.aggregate(inner, none, apart), F.array(last))
 
     def cut(lines: Column) -> Column:
         def spans(at: Column) -> Column:

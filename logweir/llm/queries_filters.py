@@ -67,7 +67,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql=r"""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS line, len(ls) AS n
             FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
         h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
-        e AS (SELECT *, (coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 31 + h) % 3 = 0 AS is_end FROM h),
+        o AS (SELECT *, i > 0 AND i < n - 2 AND ((coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 31 + h) % 4294967296 * 40503 % 4294967296 >> 16) % 3 = 0 AS open FROM h),
+        u AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, open ORDER BY i) AS run FROM o),
+        e AS (SELECT *, open AND (i - min(i) OVER (PARTITION BY doc_id, open, run)) % 2 = 0 AS is_end FROM u),
         c AS (SELECT *, coalesce(sum(is_end::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM e),
         g AS (SELECT doc_id, chunk, min(i) AS start, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, chunk),
         r AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, start) AS place FROM g

@@ -161,15 +161,17 @@ def plain_chunks(text):
     lines, found, start, last = text.split("\n"), [], 0, 0
     for i, line in enumerate(lines):
         h = int(hashlib.md5(line.encode()).hexdigest()[:8], 16)
-        if (last * 31 + h) % line_chunks.MODULUS == 0 or i == len(lines) - 1:
+        rolled = ((last * 31 + h) % 2**32 * line_chunks.MIXER % 2**32 >> 16) % line_chunks.MODULUS == 0
+        if i == len(lines) - 1 or (rolled and i - start >= 1 and len(lines) - 1 - i >= 2):
             found.append((start, lines[start : i + 1]))
             start = i + 1
         last = h
+    assert len(lines) == 1 or all(len(c) > 1 for _, c in found)
     return found
 
 
 def test_line_chunks(spark):
-    rows = cases.odd_rows()
+    rows = cases.odd_rows() + [(500 + i, "\n".join(cases.prose(600 + k, 4) for k in range(i % 9))) for i in range(40)] + [(540, "\n\n\n"), (541, "a\n\n")]
     first, want = {}, Counter()
     for i, t in sorted(((i, t) for i, t in set(rows) if t is not None), key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(f"{'-' if r[0] is None else r[0]}\0{r[1]}".encode()).digest())):
         for start, lines in plain_chunks(t):
@@ -185,7 +187,7 @@ def test_line_chunks(spark):
             kept += lines if mine else []
             gone += [] if mine else [len(lines)]
         want[i, "\n".join(kept), len(t.split("\n")), sum(gone), len(gone)] += 1
-    got = line_chunks.dedup_lines(cases.odd(spark)).collect()
+    got = line_chunks.dedup_lines(cases.with_clashes(spark, rows)).collect()
     assert Counter((r.doc.doc_id, r.kept, r.n_lines, r.removed_lines, r.removed_chunks) for r in got) == want
     assert line_chunks.dedup_lines(cases.empty(spark)).count() == 0
 
