@@ -49,3 +49,10 @@ def timed_log_next_event_sweep(spark, sf):
 def timed_log_pca_verdicts(spark, sf):
     train, test = flows.count_vectors(timed(spark, sf))
     return L.score_pca(test, L.fit_pca(train, 0.8, threshold=1.0)).select("session_id", "label", r6("spe").alias("spe"), "pred")
+
+
+@register("keyed_log_detector_metrics")
+def keyed_log_detector_metrics(spark, sf):
+    """All detectors on count vectors of the mined log's sessions."""
+    sessions = keyed(spark, sf)
+    return flows.detector_metrics(sessions, ["residual", "clusters", "forest", "logistic", "margin", "tree"])

@@ -332,7 +332,7 @@ def event_rank(spark, sf):
 
 @register("distinct_events", "e1", "SELECT event, count(*) AS n FROM e1 GROUP BY event")
 def distinct_events(spark, sf):
-    return V.timed_events(spark, sf).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+    return D.distinct_events(V.timed_events(spark, sf))
 
 
 @register("sessionize_by_key", "l1k", """SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY line_no) - 1 AS pos, line_no,

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from logweir.detectors.blocks import stack
 from logweir.operators.ordering import exact_quantile
-from logweir.session import materialise
 
 EULER = 0.5772156649015329
 NODES = "tree int, node int, feature int, cut double, low int, high int, depth double"
@@ -65,20 +64,28 @@ def fit_isolation_forest(
 ) -> Forest:
     """Each tree gets the ``min(max_samples, n)`` rows with the smallest hash of seed, tree and id.
 
-    Rows whose hash is too large for any tree are dropped where they are read; should that leave a tree short, the bound grows.
+    A first pass over the ids alone finds for each tree the largest hash that still belongs to its sample; should its bound leave a tree short, it
+    is doubled. The second pass takes the trees of a row by comparing its hashes with these limits, so a row's vector is read once and
+    copied only to the trees whose sample it is in.
     """
     n = vectors.count()
     psi = min(max_samples, n)
-    draw = F.xxhash64(F.lit(seed), "tree", key)
-    spread = vectors.select(key, vector, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("_h", draw)
+    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
+    draws = F.transform(numbers, lambda t: F.struct(t.alias("tree"), F.xxhash64(F.lit(seed), t, F.col(key)).alias("_h")))
     bound = min(1.0, (psi + 8 * np.sqrt(psi)) / max(n, 1))
+    order = Window.partitionBy("tree").orderBy("_h", key)
     while True:
-        near = materialise(spread.where(F.col("_h") <= min(int(bound * 2**64) - 2**63, 2**63 - 1)))
-        if bound == 1.0 or near.groupBy("tree").count().where(F.col("count") >= psi).count() == trees:
+        top = F.lit(min(int(bound * 2**64) - 2**63, 2**63 - 1))
+        near = vectors.select(key, F.inline(F.filter(draws, lambda d: d["_h"] <= top)))  # noqa: B023
+        smallest = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= psi)
+        last = {r["tree"]: (r["n"], r["_h"]) for r in smallest.groupBy("tree").agg(F.count(F.lit(1)).alias("n"), F.max("_h").alias("_h")).collect()}
+        if bound == 1.0 or (len(last) == trees and all(k == psi for k, _ in last.values())):
             break
         bound = min(1.0, 2 * bound)
-    order = Window.partitionBy("tree").orderBy("_h", key)
-    dealt = near.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= psi)
+    limits = F.array(*[F.lit(last[t][1] if t in last else -(2**63)) for t in range(trees)])
+    mine = F.filter(draws, lambda d: d["_h"] <= F.get(limits, d["tree"]))
+    chosen = vectors.select(key, vector, mine.alias("_draws")).where(F.size("_draws") > 0).select(key, vector, F.inline("_draws"))
+    dealt = chosen.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= psi)
     limit = int(np.ceil(np.log2(max(psi, 2))))
 
     def grow(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

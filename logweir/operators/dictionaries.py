@@ -24,6 +24,11 @@ def _constants(df: DataFrame, tokens: tuple[str, ...]) -> DataFrame:
     return df.sparkSession.createDataFrame([(t, i, None) for i, t in enumerate(tokens)], "token string, idx bigint, freq bigint")
 
 
+def distinct_events(sessions: DataFrame, event: str = "event") -> DataFrame:
+    """The different events with the number of their occurrences."""
+    return sessions.groupBy(event).agg(F.count(F.lit(1)).alias("n"))
+
+
 def template_occurrences(lines: DataFrame, template: str = "template", line: str = "line_id") -> DataFrame:
     """Distinct templates with id, count and first line."""
     return (

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from logweir.detectors import boundary, clustering, forest, linear_space, supervised
 from logweir.detectors.context_counts import (
     fit_next_event,
     masked_event_detector,
@@ -22,7 +24,7 @@ from logweir.operators.mining import drain_templates, mining_result
 from logweir.operators.ordering import spread_join
 from logweir.operators.parsing import match_log_format
 from logweir.operators.sessions import join_session_labels, session_heads, sessionize, sessionize_by_key
-from logweir.operators.splits import TRAIN, split_normal_abnormal, take_prefix
+from logweir.operators.splits import TRAIN, mix_abnormal_into_train, split_normal_abnormal, take_prefix
 from logweir.operators.windows import chunk_sequence, next_event_windows, sliding_time_window_events
 from logweir.session import materialise
 
@@ -162,3 +164,62 @@ def count_vectors(sessions: DataFrame, weighting: str | None = None, normalizati
         return materialise(fitted.vectors(events).join(session_heads(events).select("session_id", "label", "first_line"), "session_id"))
 
     return part(train_part(sessions)), part(test_part(sessions))
+
+
+def mixed_count_vectors(sessions: DataFrame, seed: int = 1, weighting: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Count vectors for supervised detectors: some of the abnormal sessions are moved to the training side."""
+    sides = materialise(mix_abnormal_into_train(session_heads(sessions).select("session_id", "label", "first_line", "n_events", "split"), seed))
+    trained = sides.where(F.col("side") == TRAIN).select("session_id", "n_events")
+    events = spread_join(sessions.drop("n_events"), trained, ["session_id"], "pos", "n_events")
+    fitted = fit_count_features(events, weighting)
+    both = materialise(fitted.vectors(sessions).join(sides.select("session_id", "label", "first_line", "side"), "session_id"))
+    return both.where(F.col("side") == TRAIN), both.where(F.col("side") != TRAIN)
+
+
+def _residual(sessions: DataFrame) -> DataFrame:
+    train, test = count_vectors(sessions, "tf-idf", "zero-mean")
+    return linear_space.score_pca(test, linear_space.fit_pca(train))
+
+
+def _invariants(sessions: DataFrame) -> DataFrame:
+    train, test = count_vectors(sessions)
+    return linear_space.score_invariants(test, linear_space.fit_invariants(train))
+
+
+def _clusters(sessions: DataFrame) -> DataFrame:
+    train, test = count_vectors(sessions, "tf-idf")
+    return clustering.score_log_clustering(test, clustering.fit_log_clustering(train).representatives)
+
+
+def _forest(sessions: DataFrame) -> DataFrame:
+    train, test = count_vectors(sessions)
+    return forest.score_isolation_forest(test, forest.fit_isolation_forest(train))
+
+
+def _boundary(sessions: DataFrame) -> DataFrame:
+    train, test = count_vectors(sessions)
+    return boundary.score_one_class_svm(test, boundary.fit_one_class_svm(train))
+
+
+#: Detectors on count vectors by name, each from split sessions to verdicts of the test sessions.
+DETECTORS = {
+    "residual": _residual,
+    "invariants": _invariants,
+    "clusters": _clusters,
+    "forest": _forest,
+    "boundary": _boundary,
+    "logistic": lambda sessions: supervised.logistic_regression(*mixed_count_vectors(sessions)),
+    "margin": lambda sessions: supervised.linear_svm(*mixed_count_vectors(sessions)),
+    "tree": lambda sessions: supervised.decision_tree(*mixed_count_vectors(sessions)),
+}
+
+
+def detector_verdicts(sessions: DataFrame, detector: str) -> DataFrame:
+    """``session_id, label, pred`` of the test sessions under one of ``DETECTORS``, fitted on the training sessions."""
+    return DETECTORS[detector](sessions).select("session_id", "label", "pred")
+
+
+def detector_metrics(sessions: DataFrame, detectors: Sequence[str] = tuple(DETECTORS)) -> DataFrame:
+    """Precision, recall and F1 of each detector, one row each."""
+    rows = [flow_metrics(detector_verdicts(sessions, d)).withColumn("detector", F.lit(d)) for d in detectors]
+    return reduce(DataFrame.unionByName, rows)

@@ -17,4 +17,4 @@ def con():
 def test_query(spark, con, name):
     rows, same, note = compare.compare(spark, con, name, catalog.queries()[name], catalog.oracles().get(name), SF)
     assert same is not False, note
-    assert rows >= 0
+    assert rows > 0 or name in catalog.oracles()

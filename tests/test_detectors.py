@@ -146,6 +146,8 @@ def test_forest_flags_outliers(spark, trees):
     assert all(-1 <= s <= 0 for s, _ in got.values())
     assert got["s0300"][1] == 1 and got["s0301"][1] == 1
     assert sum(p for _, p in got.values()) <= 0.02 * 302 + 1
+    again = forest.fit_isolation_forest(vectors(spark, x).repartition(5), trees=trees, max_samples=64, contamination=0.02)
+    assert all((a == b).all() for a, b in zip(model.trees, again.trees, strict=True)) and len(model.trees) == trees
     assert forest.expected_path(2)[0] == 1 and forest.expected_path(256)[0] == pytest.approx(10.244, abs=0.01)
 
 

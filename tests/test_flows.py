@@ -2,6 +2,7 @@
 
 from dataclasses import replace
 
+from logweir.operators.sessions import session_heads, sessionize
 from logweir.plans import flows
 
 
@@ -30,6 +31,24 @@ def test_keyed_flow(spark):
     assert {r.pred for r in verdicts.collect()} == {0}
 
 
+def test_detectors_on_count_vectors(spark):
+    rows, labels = [], []
+    for i in range(60):
+        bad = i >= 40
+        steps = ["open", "read", "close"] + (["failure", "failure", "abort"] if bad else ["read"] * (i % 2))
+        rows += [(f"s{i:02d}", 100 * i + k, e, int(bad)) for k, e in enumerate(steps)]
+    lines = spark.createDataFrame(rows, "session_id string, line_id bigint, event string, y int").repartition(3)
+    found = sessionize(lines, totals={"label": ("max", "y")}).drop("y")
+    sessions = flows._with_split(found.drop("label"), session_heads(found).select("session_id", "n_events", "label"), replace(flows.HDFS, train=0.5))
+    names = ["residual", "clusters", "forest", "logistic", "margin", "tree"]
+    got = {r.detector: r for r in flows.detector_metrics(sessions, names).collect()}
+    assert list(got) == names
+    assert all(got[d].f1 == 100 for d in ("logistic", "margin", "tree"))
+    train, test = flows.mixed_count_vectors(sessions)
+    kinds = {(r.label, r["count"]) for r in train.groupBy("label").count().collect()}
+    assert kinds == {(0, 20), (1, 8)} and test.count() == 32
+
+
 def test_timed_flow_and_prefix(spark):
     rows = [f"{'ERR' if i == 50 else '-'} 1131566461 2005.11.09 adm Nov 9 12:{i // 60:02d}:{i % 60:02d} adm/adm ntpd[{i}]: synchronized to 10.1.1.{i}" for i in range(120)]
     lines = spark.createDataFrame(list(enumerate(rows)), "line_no bigint, line string").repartition(3)
