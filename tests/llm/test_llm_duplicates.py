@@ -157,6 +157,38 @@ def test_long_matches(spark, length, hot, monkeypatch):
     assert long_matches.without_long_matches(cases.empty(spark)).count() == 0
 
 
+def test_periodic_text_makes_few_marks(spark):
+    """Its stretch starts in every period; the marks of a text that touch are one row."""
+    rows = [(7, bytearray(b"0123456789" * 41), bytearray([i]), [*range(0, 5000, 10), 9000]) for i in range(3)]
+    found = spark.createDataFrame(rows, "hash long, stretch binary, digest binary, starts array<long>")
+    for marks in (long_matches._index_marks(found.repartition("hash"), 400), long_matches._counted_marks(found, 400)):
+        assert sorted((*r.digest, r.start, r.last) for r in marks.collect()) == [(i, *x) for i in range(3) for x in ((0, 5000), (9000, 9010))]
+
+
+def test_hot_anchors_name_only_windows_whose_core_occurs_again(spark, monkeypatch):
+    """A common line in many surroundings; pairs of texts share 399 to 420 bytes around it."""
+    monkeypatch.setattr(long_matches, "HOT_GROUP", 10)
+    kept, store = {}, long_matches.stored
+    monkeypatch.setattr(long_matches, "stored", lambda df, name: kept.setdefault(name, store(df, name)))
+    line = " ".join(f"zq{i}" for i in range(55))
+    texts = [cases.prose(800 + i, 90) + line + cases.prose(900 + i, 90) for i in range(40)]
+    before, after = texts[0].split(line)
+    for k, size in enumerate([399, 400, 401, 420]):
+        left = 30 + 20 * k
+        shared = (before[-left:] + line + after)[:size]
+        texts += [cases.prose(1000 + 2 * k, 90) + "<" + shared + ">", cases.prose(1001 + 2 * k, 90) + "(" + shared + ")"]
+    texts = texts[1:]
+    seen = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
+    want = {}
+    for i, t in enumerate(texts):
+        gone = {k for at in range(len(t) - 399) if seen[t[at : at + 400]] > 1 for k in range(at, at + 400)}
+        want[i] = len(gone)
+    got = long_matches.without_long_matches(cases.with_clashes(spark, list(enumerate(texts)))).collect()
+    assert {r.doc_id: r.n_removed for r in got} == want and sum(want.values()) > 2000
+    windows = kept["hot-distinct"].selectExpr("sum(octet_length(stretch) - 399)").first()[0]
+    assert kept["hot-windows"].count() < 0.5 * windows
+
+
 def plain_chunks(text):
     lines, found, start, last = text.split("\n"), [], 0, 0
     for i, line in enumerate(lines):
