@@ -18,8 +18,9 @@ text when documents are held out. Tables without training documents give a model
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count, islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ ROWS = 1 << 16
 ROUNDS = 2
 RATE = 0.5
 BATCH = 1 << 15
+#: Tokens that are scored at once: their arrays stay in a core's cache.
+SCORED = 1 << 12
 #: Tokens that a training task takes at least: it sends a change for most rows, however little it has read.
 TASK_TOKENS = 4_000_000
 END = b"\n"
@@ -52,14 +55,15 @@ def is_held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
-def _rare_class(token: bytes) -> int:
-    return WIDTH * WIDTH - RARE + (xxhash.xxh64_intdigest(token, 1) % RARE)
+def _rare_classes(tokens: list[bytes]) -> np.ndarray:
+    named = np.fromiter(map(xxhash.xxh64_intdigest, tokens, repeat(1)), np.uint64, len(tokens))
+    return WIDTH * WIDTH - RARE + (named % np.uint64(RARE)).astype(np.int64)
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(token, class of its hash, count) over all given documents, counted per batch before the shuffle."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         for batch in batches:
             for text in batch["text"]:
@@ -69,12 +73,12 @@ def count_tokens(docs: DataFrame) -> DataFrame:
                 counts = Counter()
         yield _counted(counts)
 
-    made = docs.select("text").mapInPandas(count, "token binary, cls int, n long")
+    made = docs.select("text").mapInPandas(tally, "token binary, cls int, n long")
     return stored(made.groupBy("token", "cls").agg(F.sum("n").alias("n")), "token-counts")
 
 
 def _counted(counts: Counter) -> pd.DataFrame:
-    return pd.DataFrame({"token": list(counts), "cls": [_rare_class(t) for t in counts], "n": list(counts.values())})
+    return pd.DataFrame({"token": list(counts), "cls": _rare_classes(list(counts)), "n": list(counts.values())})
 
 
 class Vocabulary:
@@ -105,25 +109,21 @@ class Vocabulary:
         return self.train_tokens + self.words + 1
 
 
-class _Numbers(dict):
+class _Numbers(defaultdict):
     """Word numbers that grow with the words asked for; hash and class by number."""
 
     def __init__(self, words: Vocabulary):
-        super().__init__({t: i for i, t in enumerate(words.top)})
+        super().__init__(count(len(words.top)).__next__, {t: i for i, t in enumerate(words.top)})
         self.names = list(words.top)
         self.hash = np.array([xxhash.xxh64_intdigest(t) for t in words.top], np.uint64)
         self.cls = words.top_class.astype(np.int64)
 
-    def __missing__(self, token: bytes) -> int:
-        i = self[token] = len(self.names)
-        self.names.append(token)
-        return i
-
     def settle(self) -> None:
         """Hashes and classes of the words that came since the last call."""
-        new = self.names[len(self.hash) :]
-        self.hash = np.r_[self.hash, np.array([xxhash.xxh64_intdigest(t) for t in new], np.uint64)]
-        self.cls = np.r_[self.cls, np.array([_rare_class(t) for t in new], np.int64)]
+        new = list(islice(reversed(self), len(self) - len(self.names)))[::-1]
+        self.names += new
+        self.hash = np.r_[self.hash, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))]
+        self.cls = np.r_[self.cls, _rare_classes(new)]
 
 
 class _Reader:
@@ -137,7 +137,8 @@ class _Reader:
         """Per text its word numbers; hashes and classes by number."""
         if len(self.number) > 2_000_000:
             self.number = _Numbers(self.words)
-        numbers = [np.array(list(map(self.number.__getitem__, tokens_of(t)))) for t in texts]
+        number = self.number.__getitem__
+        numbers = [np.fromiter(map(number, row), np.int64, len(row)) for row in map(tokens_of, texts)]
         self.number.settle()
         return numbers, self.number.hash, self.number.cls
 
@@ -172,33 +173,62 @@ def _sums(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def _log_softmax(scores: np.ndarray) -> np.ndarray:
-    scores = scores - scores.max(axis=1, keepdims=True)
-    return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
+def _log_shares(scores: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Log of the softmax at the wanted outcomes; outcomes are laid out as rows, over which numpy sums fast."""
+    by_outcome = np.ascontiguousarray(scores.T)
+    by_outcome -= by_outcome.max(axis=0)
+    found = by_outcome[wanted, np.arange(len(wanted))]
+    return found - np.log(np.exp(by_outcome, out=by_outcome).sum(axis=0))
+
+
+def _slopes(scores: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Gradient of the log softmax at the wanted outcomes."""
+    by_outcome = np.ascontiguousarray(scores.T)
+    by_outcome -= by_outcome.max(axis=0)
+    np.exp(by_outcome, out=by_outcome)
+    by_outcome /= -by_outcome.sum(axis=0)
+    by_outcome[wanted, np.arange(len(wanted))] += 1
+    return np.ascontiguousarray(by_outcome.T)
+
+
+def _summed(slope: np.ndarray, order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``slope`` in ``order``, from each start to the next."""
+    ends = np.r_[starts[1:], len(order)]
+    if len(starts) > 4 * WIDTH:  # most rows occur once
+        sums, several = slope.take(order[starts], axis=0), ends - starts > 1
+        order = order[np.repeat(several, ends - starts)]
+        sizes = (ends - starts)[several]
+        if len(sizes):
+            sums[several] = np.add.reduceat(slope.take(order, axis=0), np.cumsum(sizes) - sizes, axis=0)
+        return sums
+    ordered = slope.take(order, axis=0)
+    return np.stack([np.einsum("ij->j", ordered[a:b]) for a, b in zip(starts, ends, strict=True)])  # bias rows: few and long
 
 
 def _class_scores(weights: np.ndarray, features: np.ndarray, cls: np.ndarray) -> np.ndarray:
     """log10 probability of each token's class."""
     groups, inside = cls // WIDTH, cls % WIDTH
     outer, inner = _rows_of(features, groups)
-    at = np.arange(len(cls))
-    first = _log_softmax(_sums(weights[0], outer))[at, groups].astype(float)
-    return (first + _log_softmax(_sums(weights[1], inner))[at, inside]) / np.log(10)
+    first = _log_shares(_sums(weights[0], outer), groups).astype(float)
+    return (first + _log_shares(_sums(weights[1], inner), inside)) / np.log(10)
 
 
 def _update(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> None:
     """One gradient step on a batch: rows that occur share the batch's mean gradient, with a step that shrinks with use."""
-    slope = -np.exp(_log_softmax(_sums(table, rows)))
-    slope[np.arange(len(wanted)), wanted] += 1
+    slope = _slopes(_sums(table, rows), wanted)
     for r in rows:
         order = np.argsort(r, kind="stable")
         ordered = r[order]
         starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        gradient = np.add.reduceat(slope.take(order, axis=0), starts, axis=0)
+        gradient = _summed(slope, order, starts)
         used = ordered[starts]
-        past = squares.take(used, axis=0) + gradient * gradient
+        past = squares.take(used, axis=0)
+        past += gradient * gradient
         squares[used] = past
-        table[used] += np.float32(RATE) * gradient / np.sqrt(past + np.float32(1))
+        past += np.float32(1)
+        gradient *= np.float32(RATE)
+        gradient /= np.sqrt(past, out=past)
+        table[used] += gradient
 
 
 def train(docs: DataFrame, words: Vocabulary) -> np.ndarray:
@@ -277,7 +307,7 @@ def score(docs: DataFrame, words: Vocabulary, weights: np.ndarray, counts: DataF
                 names = reader.number.names
                 features = _features(numbers, hashes)
                 cls = classes[np.concatenate(numbers)]
-                parts = [_class_scores(shared.value, features[:, i : i + BATCH], cls[i : i + BATCH]) for i in range(0, len(cls), BATCH)]
+                parts = [_class_scores(shared.value, features[:, i : i + SCORED], cls[i : i + SCORED]) for i in range(0, len(cls), SCORED)]
                 scores, place, rows = np.concatenate(parts), 0, []
                 for k, row in enumerate(numbers):
                     common = row[row < top]

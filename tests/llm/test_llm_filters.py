@@ -6,7 +6,9 @@ from collections import Counter
 
 import cases
 import compare
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -115,6 +117,35 @@ def test_class_shares_are_probabilities(spark):
     assert all(words.rare_total[c] >= words.rare_once[c] > 0 for c in words.rare_total)
 
 
+def test_steps_and_shares_are_those_of_the_softmax():
+    r = np.random.default_rng(5)
+    n = 3000
+    scores, wanted = r.normal(0, 9, (n, 16)).astype(np.float32), r.integers(0, 16, n)
+    shares = np.exp(scores.astype(float) - scores.max(axis=1, keepdims=True))
+    shares /= shares.sum(axis=1, keepdims=True)
+    slope = np.eye(16)[wanted] - shares
+    assert np.allclose(maxent_lm._log_shares(scores, wanted), np.log(shares[np.arange(n), wanted]), atol=1e-4)
+    assert np.allclose(maxent_lm._slopes(scores, wanted), slope, atol=1e-5)
+    for rows in (np.zeros(n, int), r.integers(0, 16, n), r.integers(0, 500, n), r.zipf(1.3, n) % 9000, r.permutation(n)):
+        order = np.argsort(rows, kind="stable")
+        used, starts = np.unique(rows[order], return_index=True)
+        want = np.stack([slope[rows == u].sum(axis=0) for u in used])
+        assert np.allclose(maxent_lm._summed(slope.astype(np.float32), order, starts), want, atol=2e-3)
+
+
+def test_words_keep_their_numbers_hashes_and_classes():
+    class Words:
+        top, top_class = [b"a", b"b"], np.array([0, 1], np.int32)
+
+    reader = maxent_lm._Reader(Words)
+    first, _, _ = reader.read(["a x B y x", None])
+    again, hashes, classes = reader.read(["y z a"])
+    assert [x.tolist() for x in first] == [[0, 2, 1, 3, 2, 4], [4]] and [x.tolist() for x in again] == [[3, 5, 0, 4]]
+    assert reader.number.names == [b"a", b"b", b"x", b"y", b"\n", b"z"]
+    assert hashes.tolist() == [xxhash.xxh64_intdigest(t) for t in reader.number.names]
+    assert classes.tolist() == [0, 1] + [248 + xxhash.xxh64_intdigest(t, 1) % 8 for t in reader.number.names[2:]]
+
+
 def test_pipeline_stages(spark):
     docs = spark.createDataFrame([(*r, "en", "s", len(r[1] or "")) for r in cases.odd_rows()], "doc_id long, text string, lang string, source string, n_chars long")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "decontaminate", "pack"]
