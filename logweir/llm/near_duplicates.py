@@ -9,9 +9,10 @@ once; only classes are compared.
 2. Lists of up to ``SHORT`` classes give their pairs. Classes of longer lists (big groups of near copies) are listed once more by
    their full sets, again under the rarest shingles that a linked pair cannot all miss, which is exact.
 3. Lists that are still long are searched from pivots: first the class with the fewest rarer shingles, which gathers the
-   group into one component, then in rounds all classes outside the list's largest component. Only pairs of different
-   components are compared, and only where what the two sets have besides rarer shingles leaves room for a link. A list is done
-   when no such pair is left, so no link between components is lost and pairs inside a component are not listed.
+   group into one component, then in rounds the classes outside the list's largest component. Only pairs of different
+   components are compared, and only where what the two sets have besides rarer shingles leaves room for a link. Classes that
+   have such room with no other component leave the list before each round (``_open``), so that rounds do not grow with them. A list
+   is done when no pair is left, so no link between components is lost and pairs inside a component are not listed.
 4. Pairs are filtered by the similarity that the smallest hashes of the union of both sketches estimate (six standard
    deviations below the threshold), then verified on the full sets. Components of the links follow in ``components``.
 
@@ -148,9 +149,16 @@ class _Verifier:
         found = met.select("vid", "wanted_cls", "text").mapInPandas(read, "vid long, n long, shingles binary")
         return stored(found.dropDuplicates(["vid"]), "near-sets")
 
+    def _within(self, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The ``rows`` of classes that occur in ``pairs``; as long as these are few, no other row is shuffled."""
+        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct(), "near-ids")
+        return rows.join(F.broadcast(ids), "vid", "left_semi") if ids.count() <= SMALL_IDS else rows
+
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose estimated similarity is within six standard deviations of the threshold."""
         percent = self.percent
+        pairs = stored(pairs, "near-pairs")
+        held = self._within(self.classes, pairs)
         least = percent / 100 - 6 * math.sqrt(percent / 100 * (1 - percent / 100) / K)
 
         def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,11 +176,14 @@ class _Verifier:
                         keep.append(np.count_nonzero(twice <= union[-1]) >= least * len(union))
                 yield batch.loc[np.asarray(keep, bool), ["a", "b"]]
 
-        side = lambda v, n, s: self.classes.select(F.col("vid").alias(v), F.col("n").alias(n), F.col("sketch").alias(s))
-        return pairs.join(side("a", "an", "x"), "a").join(side("b", "bn", "y"), "b").mapInPandas(judge, "a long, b long")
+        side = lambda v, n, s: held.select(F.col("vid").alias(v), F.col("n").alias(n), F.col("sketch").alias(s))
+        found = pairs.join(side("a", "an", "x"), "a").join(side("b", "bn", "y"), "b").mapInPandas(judge, "a long, b long")
+        return stored(found, "near-likely")
 
     def confirmed(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those of the stored ``pairs`` that are links."""
         percent = self.percent
+        held = self._within(sets, pairs)
 
         def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -183,7 +194,7 @@ class _Verifier:
                     keep.append(100 * shared >= percent * (len(both) - shared))
                 yield batch.loc[np.asarray(keep, bool), ["a", "b"]]
 
-        side = lambda v, s: sets.select(F.col("vid").alias(v), F.col("shingles").alias(s))
+        side = lambda v, s: held.select(F.col("vid").alias(v), F.col("shingles").alias(s))
         return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(judge, "a long, b long")
 
 
@@ -191,35 +202,55 @@ def _label(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.select(F.col("v").alias("vid"), "label"), "vid", "left").withColumn("label", F.coalesce("label", "vid"))
 
 
+def _open(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of lists that have room for a link with some row of another component in their list.
+
+    Of the rows of a list that have one size, those with the fewest rarer shingles in each of two components decide this for
+    every other row. So a row is held against the sizes in its list, however many rows these have.
+    """
+    best = rows.groupBy("value", "n").agg(F.min(F.struct("pos", "label")).alias("best"))
+    others = rows.join(best, ["value", "n"]).where("label <> best.label").groupBy("value", "n").agg(F.min(F.struct("pos", "label")).alias("best"))
+    x, y = rows.alias("x"), best.unionByName(others).select("value", "n", "best.pos", "best.label").alias("y")
+    return x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.label") != F.col("y.label")) & _room(percent, True), "left_semi")
+
+
+def _merged(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the labels that their components have once ``links`` between them are added."""
+    names = rows.select("vid", "label").distinct()
+    side = lambda v: names.select(F.col("vid").alias(v), F.col("label").alias(f"{v}_label"))
+    between = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    moved = components(between).select(F.col("v").alias("label"), F.col("label").alias("to"))
+    return rows.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+
+
 def _long_lists(lists: DataFrame, links: DataFrame, verifier: _Verifier, sets: DataFrame) -> DataFrame:
     """Links that connect all components which pairs of the long lists connect; ``links`` are those known before."""
     percent = verifier.percent
     # The first pivots of a list come from an aggregate, so that a list is never one task's window.
-    first = lists.groupBy("value").agg(F.min(F.struct(F.col("pos") / F.col("n"), "vid")).alias("f"), F.max("members").alias("members"))
-    pivots = lists.join(first.select("value", F.col("f.vid").alias("first")), "value").where("vid = first").drop("first")
-    done = stored(lists.select("value", "vid").limit(0), "near-done")
+    first = lists.groupBy("value").agg(F.min(F.struct(F.col("pos") / F.col("n"), "vid")).alias("f"))
+    pivots = lists.join(first.select("value", F.col("f.vid").alias("first")), "value").where("vid = first")
+    rows = stored(_label(lists.select("value", "vid", "n", "pos"), components(links)), "near-placed")
     while True:
-        labels = components(links)
-        placed = stored(_label(lists, labels), "near-placed")
-        tally = placed.groupBy("value", "label").agg(F.count(F.lit(1)).alias("rows"))
-        main = tally.groupBy("value").agg(F.max(F.struct("rows", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        if pivots is None:
-            outside = placed.join(main.select("value", F.col("main.label").alias("main"), "parts"), "value").where("label <> main")
-            outside = outside.join(done, ["value", "vid"], "left_anti")
-            share = F.greatest(F.lit(16), F.floor(F.lit(ROUND_PAIRS) / F.col("members")))
-            # A hashed share of those outside, about as many as the round's pairs allow, and the first of them for sure.
-            left = outside.groupBy("value").agg(F.count(F.lit(1)).alias("left"), F.min("vid").alias("least"))
-            if left.isEmpty():
-                return links
-            part = F.pmod(F.xxhash64("vid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-            pivots = outside.join(left, "value").where((part * F.col("left") < share) | (F.col("vid") == F.col("least")))
         chosen = stored(pivots.select("value", "vid"), "near-pivots")
-        x, y = placed.join(chosen, ["value", "vid"]).alias("x"), placed.alias("y")
+        x, y = rows.join(chosen, ["value", "vid"]).alias("x"), rows.alias("y")
         met = x.join(y, (F.col("x.value") == F.col("y.value")) & (F.col("x.label") != F.col("y.label")) & _room(percent, True))
         pairs = met.select(F.least("x.vid", "y.vid").alias("a"), F.greatest("x.vid", "y.vid").alias("b")).distinct()
-        links = stored(links.unionByName(verifier.confirmed(verifier.estimated(pairs), sets)), "near-found")
-        done = stored(done.unionByName(chosen), "near-done")
-        pivots = None
+        found = stored(verifier.confirmed(verifier.estimated(pairs), sets), "near-found")
+        if not found.isEmpty():
+            links = stored(links.unionByName(found), "near-links")
+            rows = _merged(rows, found)
+        # A pivot has met its whole list, and a row without room for another component gets none when components grow.
+        rows = stored(_open(rows.join(chosen, ["value", "vid"], "left_anti"), percent), "near-placed")
+        if rows.isEmpty():
+            return links
+        tally = rows.groupBy("value", "label").agg(F.count(F.lit(1)).alias("rows"))
+        main = tally.groupBy("value").agg(F.max(F.struct("rows", "label")).alias("main"), F.sum("rows").alias("members"))
+        outside = rows.join(main.select("value", F.col("main.label").alias("main"), "members"), "value").where("label <> main")
+        share = F.greatest(F.lit(16), F.floor(F.lit(ROUND_PAIRS) / F.col("members")))
+        # A hashed share of those outside, about as many as the round's pairs allow, and the first of them for sure.
+        left = outside.groupBy("value").agg(F.count(F.lit(1)).alias("left"), F.min("vid").alias("least"))
+        part = F.pmod(F.xxhash64("vid"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        pivots = outside.join(left, "value").where((part * F.col("left") < share) | (F.col("vid") == F.col("least")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -246,7 +277,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     retained = classes.select("vid", "n", F.least("n", F.lit(K)).alias("held"), F.explode(_values(F.col("sketch"))).alias("value"))
     short, long = _split(_rare_lists(retained, _prefix(F.col("n"), percent)))
-    likely = stored(verifier.estimated(_pairs_of(short, percent, False)), "near-likely")
+    likely = verifier.estimated(_pairs_of(short, percent, False))
     grouped_ids = stored(long.select("vid").distinct(), "near-grouped")
     wanted = likely.select(F.explode(F.array("a", "b")).alias("vid")).unionByName(grouped_ids).distinct()
     sets = verifier.sets(wanted)

@@ -57,6 +57,23 @@ def test_components_of_near_copies(spark, size, short, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == component_ids(rows, size, 80)
 
 
+def test_rounds_do_not_grow_with_copies_that_are_too_far_off(spark, monkeypatch):
+    """A group of copies of one text, of which half have room for no other: they are no pivots, so few rounds are left."""
+    r = np.random.default_rng(9)
+    rows, base = [], cases.prose(79, 200).split()
+    for i in range(240):
+        words = list(base)
+        for at in r.choice(len(words), int(r.integers(0, 12)), replace=False):
+            words[at] = f"w{i}x{at}"
+        rows.append((i, " ".join(words)))
+    rounds, write = [], near_duplicates.stored
+    monkeypatch.setattr(near_duplicates, "stored", lambda df, name: rounds.append(name) or write(df, name))
+    monkeypatch.setattr(near_duplicates, "ROUND_PAIRS", 1)
+    got = near_duplicates.near_duplicates(cases.with_clashes(spark, rows), size=4).collect()
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in got) == component_ids(rows, 4, 80)
+    assert 1 <= rounds.count("near-pivots") <= 3
+
+
 def test_links_of_whole_sketches_with_truncated_ones(spark):
     """Sets of about a sketch's size with appended words, or with first words dropped as well, sharing nothing with other sets."""
     rows = []
