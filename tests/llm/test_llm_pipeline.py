@@ -4,7 +4,9 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
+from itertools import combinations
 
+import cases
 import duckdb
 import numpy as np
 import public_tokenizers
@@ -13,6 +15,7 @@ from test_llm_filters import plain_measures
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from logweir.llm import near_duplicates
 
 SF = "/root/testdata/sf0.001"
 BLANK = " \t\n\r\x0b\x0c"
@@ -95,3 +98,26 @@ def test_exact_copies_leave_no_remnants(spark):
     want = Counter({(i, t): 1 for i, t in enumerate(texts)} | {(0, texts[0]): 2, (90, ""): 1, (91, ""): 1, (92, None): 1, (93, None): 1})
     assert Counter((r.doc_id, r.text) for r in left.collect()) == want
     assert Counter(r.doc_id for r in corpus_pipeline.near_dedup(spark, left, SF).where("text <> ''").collect()) == Counter(range(8))
+
+
+def test_near_dedup_needs_few_rounds_for_a_large_group(spark, monkeypatch):
+    """Copies of one text, half of them too far off to be linked: the stage keeps one of each group, and is done in a few rounds."""
+    r = np.random.default_rng(4)
+    rows, base = [], cases.prose(81, 200).split()
+    for i in range(200):
+        words = list(base)
+        for at in r.choice(len(words), int(r.integers(0, 10)), replace=False):
+            words[at] = f"w{i}x{at}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for _, t in rows]
+    label = list(range(len(rows)))
+    for a, b in combinations(range(len(rows)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    rounds, write = [], near_duplicates.stored
+    monkeypatch.setattr(near_duplicates, "stored", lambda df, name: rounds.append(name) or write(df, name))
+    monkeypatch.setattr(near_duplicates, "ROUND_PAIRS", 1)
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(label))
+    assert 1 <= rounds.count("near-pivots") <= 3
